@@ -36,13 +36,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistra.llm.text import column, slices, utf8
 from gistra.staging import cut, release
 
-GROUPS, LEAF, BLOCK, ROUNDS = 32, 16, 512, 3
+GROUPS, FOLD, LEAF, BLOCK, ROUNDS = 128, 4, 16, 512, 3
+PAIRS_AT_ONCE = 100_000
 U = np.uint64
 
 
@@ -140,14 +141,19 @@ def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFra
                     seen.add(k)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                counts = [np.bincount((u & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for u in sets]
+                counts = [packed(np.bincount((u & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)) for u in sets]
                 yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["id", "n", "key", "counts", "cells"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, counts binary, cells array<bigint>")
 
 
-def _vectors(a: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(a.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def packed(counts: np.ndarray) -> bytes:
+    """A point's coordinates, a byte each if they fit, else four."""
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _vectors(values: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<u1" if len(v) == GROUPS else "<u4") for v in values]).astype(np.int32)
 
 
 def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
@@ -156,7 +162,7 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                bound = np.minimum(_vectors(column(batch, "c_a")), _vectors(column(batch, "c_b"))).sum(1)
+                bound = np.minimum(_vectors(column(batch, "c_a").to_pylist()), _vectors(column(batch, "c_b").to_pylist())).sum(1).astype(np.int64)
                 total = column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy()
                 ok = pa.array(bound >= terms.needed(total))
                 yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok), pa.array(bound).filter(ok)], ["a", "b", "bound"])
@@ -196,42 +202,82 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """An R-tree of one level over points in order of size and then of their largest spread coordinates."""
+    """An R-tree of one level over points in order of size and then of their largest spread coordinates.
+
+    Its coordinates are folded ones (sums of ``FOLD`` groups), which bound the overlap too, only less tightly.
+    """
 
-    def __init__(self, n: np.ndarray, counts: np.ndarray):
-        spread = np.argsort(-counts.std(0), kind="stable")[:2]
+    def __init__(self, n: np.ndarray, folded: np.ndarray):
+        spread = np.argsort(-folded.std(0), kind="stable")[:2]
         tile = n // max(1, int(n.mean()) // 16)
-        self.order = np.lexsort((counts[:, spread[1]], counts[:, spread[0]], tile))
+        self.order = np.lexsort((folded[:, spread[1]], folded[:, spread[0]], tile))
         begins = np.arange(0, len(n), LEAF)
-        self.n, self.counts = n[self.order], counts[self.order]
-        self.tops = np.maximum.reduceat(self.counts, begins)
-        self.least = np.minimum.reduceat(self.n, begins)
-
-    def reaching(self, n: int, point: np.ndarray, terms: Terms) -> np.ndarray:
-        """Points whose overlap with this one may be enough (their numbers as given)."""
-        leaves = np.flatnonzero(np.minimum(self.tops, point).sum(1) >= terms.needed(self.least + n))
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
-        at = at[at < len(self.n)]
-        at = at[np.minimum(self.counts[at], point).sum(1) >= terms.needed(self.n[at] + n)]
-        return self.order[at]
+        self.tops = np.maximum.reduceat(folded[self.order], begins)
+        self.least = np.minimum.reduceat(n[self.order], begins)
+
+    def reaching(self, n: np.ndarray, folded: np.ndarray, terms: Terms):
+        """(query, point) numbers for which the leaf's maxima allow enough overlap, in bounded runs."""
+        step = max(1, PAIRS_AT_ONCE // (LEAF * len(self.least)))
+        for k in range(0, len(n), step):
+            bound = np.minimum(folded[k : k + step, None], self.tops[None]).sum(2)
+            q, leaf = np.nonzero(bound >= terms.needed(self.least[None] + n[k : k + step, None]))
+            at = (leaf[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
+            ok = at < len(self.order)
+            yield np.repeat(q + k, LEAF)[ok], self.order[at[ok]]
+
+
+def _cell_pairs(n, comp, key, counts, here, there, terms: Terms):
+    """Pairs of points, one of ``here`` and one of ``there``, of different components that survive the bounds."""
+    folded = counts.reshape(len(counts), -1, FOLD).sum(2)
+    tree = Tree(n[there], folded[there])
+    for q, p in tree.reaching(n[here], folded[here], terms):
+        x, y = here[q], there[p]
+        ok = comp[x] != comp[y]
+        if here is there:
+            ok &= key[x] < key[y]
+        x, y = x[ok], y[ok]
+        need = terms.needed(n[x] + n[y])
+        ok = np.minimum(folded[x], folded[y]).sum(1) >= need
+        x, y, need = x[ok], y[ok], need[ok]
+        ok = np.minimum(counts[x], counts[y]).sum(1) >= need
+        yield np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])
 
 
 def _block_pairs(terms: Terms):
-    def run(rows):
-        n, comp, key = rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["key"].to_numpy()
-        counts = np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        block, i, j = rows["block"].to_numpy(), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        here, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    """For rows sorted by (cell, i, j): the surviving pairs of each such group. A group has two blocks of rows
+    at most, and only the group that a batch breaks off is held over to the next."""
+    fields = ["cell", "i", "j", "block", "key", "comp", "n", "counts"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(table):
+        if not table.num_rows:
+            return
+        cell, i, j, block, key, comp, n = (table.column(c).to_numpy() for c in fields[:-1])
+        counts = _vectors(table.column("counts").to_pylist())
+        begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out = []
-        if len(here) and len(there):
-            tree = Tree(n[there], counts[there])
-            for q in here:
-                hit = there[tree.reaching(n[q], counts[q], terms)]
-                hit = hit[comp[hit] != comp[q]]
-                out += [(min(key[q], k), max(key[q], k)) for k in key[hit] if i != j or key[q] < k]
-        import pandas as pd
+        for a, b in zip(begins, [*begins[1:], len(cell)]):
+            own = slice(a, b)
+            here = np.flatnonzero(block[own] == i[a])
+            there = here if i[a] == j[a] else np.flatnonzero(block[own] == j[a])
+            if len(here) and len(there):
+                out += _cell_pairs(n[own], comp[own], key[own], counts[own], here, there, terms)
+        if out:
+            pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select(fields)
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            cell, i, j = (table.column(c).to_numpy() for c in ("cell", "i", "j"))
+            last = np.flatnonzero((cell != cell[-1]) | (i != i[-1]) | (j != j[-1])) if len(cell) else []
+            stop = int(last[-1]) + 1 if len(last) else 0
+            yield from work(table.slice(0, stop))
+            held = table.slice(stop)
+        if held is not None:
+            yield from work(held)
 
     return run
 
@@ -287,7 +333,9 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
     left = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(left, "cell").join(classes.select("key", "n", "counts"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    pairs = dealt.groupBy("cell", "i", "j").applyInPandas(_block_pairs(terms), "a long, b long").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    pairs = grouped.mapInArrow(_block_pairs(terms), "a long, b long").distinct()
     found = joined(labels, verified(pairs, sets, terms))
     return labels if found is None else found
 
