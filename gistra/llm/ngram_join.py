@@ -43,7 +43,7 @@ from gistra.llm.text import column, slices, utf8
 from gistra.staging import cut, release
 
 GROUPS, FOLD, LEAF, BLOCK, ROUNDS = 128, 4, 16, 512, 3
-PAIRS_AT_ONCE = 100_000
+PAIRS_AT_ONCE, FILTER_BITS = 100_000, 27
 U = np.uint64
 
 
@@ -282,16 +282,31 @@ def _block_pairs(terms: Terms):
     return run
 
 
-def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame | None:
-    """(key, comp) of the classes that are linked with another one; the rest are on their own."""
-    spark = docs.sparkSession
+def members_of_shared_cells(profile: DataFrame) -> DataFrame:
+    """(cell, key) of the cells that hold more than one class."""
     rows = profile.filter("cells IS NOT NULL").select("key", F.explode("cells").alias("cell"))
     shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cell")
-    members = cut(rows.join(shared, "cell").select("cell", "key").distinct(), "members")
-    release(spark)
-    inside = members.select("key").distinct()
-    classes = cut(profile.join(inside, "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
-    wanted = classes.select("key", F.col("rep").alias("rep_id"))
+    return cut(rows.join(shared, "cell").select("cell", "key").distinct(), "members")
+
+
+def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be one of ``ids`` (one column, ``id``): what can't be needs no shuffle.
+
+    The ids' hashes set bits of a map of at most ``2 ** FILTER_BITS`` bits, which is what is broadcast, in
+    pieces of 4 KB. Where ids are too many for the map it lets more rows pass and nothing is lost.
+    """
+    bits = max(15, min(FILTER_BITS, (16 * ids.count()).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    at = place(F.col("id"))
+    pieces = ids.select(F.shiftright(at, 15).alias("piece"), at.bitwiseAND(32767).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    here = rows.withColumn("place_", place(F.col(id_col))).withColumn("piece_", F.shiftright("place_", 15))
+    found = here.join(F.broadcast(pieces), F.col("piece_") == F.col("piece"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast((place_ & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return found.filter(F.expr("shiftleft(1, cast(place_ & 7 as int))").bitwiseAND(byte) != 0).select(*rows.columns)
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """(key, shingles) of the classes, from the texts of their representatives."""
 
     def sets_of(batches):
         for batch in batches:
@@ -302,8 +317,18 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
                 ok = pa.array([k == w for k, w in zip(keys, column(part, "key").to_pylist())])
                 yield pa.RecordBatch.from_arrays([column(part, "key").filter(ok), pa.array([u.tobytes() for u in sets], pa.binary()).filter(ok)], ["key", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("t")).join(wanted, "rep_id").select("key", "t")
-    sets = cut(texts.mapInArrow(sets_of, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    texts = probably_in(docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("t")), "rep_id", classes.select(F.col("rep").alias("id")))
+    chosen = texts.join(classes.select("key", F.col("rep").alias("rep_id")), "rep_id").select("key", "t")
+    return cut(chosen.mapInArrow(sets_of, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+
+
+def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """(key, comp) of the classes that share a cell with another one; the rest are on their own."""
+    spark = docs.sparkSession
+    members = members_of_shared_cells(profile)
+    release(spark)
+    classes = cut(profile.join(members.select("key").distinct(), "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
+    sets = class_sets(docs, classes, terms, id_col, text_col)
     release(spark)
     labels = classes.select("key", F.col("key").alias("comp"))
     point = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
