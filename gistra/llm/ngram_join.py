@@ -172,6 +172,8 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are linked."""
+    pairs = cut(pairs.select("a", "b"), "pairs")
+    sets = probably_in(sets, "key", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -184,7 +186,7 @@ def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -319,7 +321,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, t
 
     texts = probably_in(docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("t")), "rep_id", classes.select(F.col("rep").alias("id")))
     chosen = texts.join(classes.select("key", F.col("rep").alias("rep_id")), "rep_id").select("key", "t")
-    return cut(chosen.mapInArrow(sets_of, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    return cut(chosen.mapInArrow(sets_of, "key long, shingles binary"), "sets")  # a class may come twice where ids repeat
 
 
 def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
