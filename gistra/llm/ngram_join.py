@@ -157,15 +157,15 @@ def _vectors(values: list[bytes]) -> np.ndarray:
 
 
 def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
-    """Pairs (a, b) with both points (n_a, c_a, n_b, c_b) whose summed minima reach the overlap needed: a, b, bound."""
+    """Pairs (a, b) with both points (n_a, c_a, n_b, c_b) whose summed minima reach the overlap needed."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                bound = np.minimum(_vectors(column(batch, "c_a").to_pylist()), _vectors(column(batch, "c_b").to_pylist())).sum(1).astype(np.int64)
+                bound = np.minimum(_vectors(column(batch, "c_a").to_pylist()), _vectors(column(batch, "c_b").to_pylist())).sum(1)
                 total = column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy()
                 ok = pa.array(bound >= terms.needed(total))
-                yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok), pa.array(bound).filter(ok)], ["a", "b", "bound"])
+                yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok), pa.array(bound, pa.int64()).filter(ok)], ["a", "b", "bound"])
 
     return pairs.mapInArrow(run, "a long, b long, bound long")
 
@@ -346,11 +346,14 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
 
     for turn in range(ROUNDS):
         placed = members.join(labels, "key")
-        pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        pairs = placed.join(pivots, "cell").filter("comp <> pivot.comp").select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
+        pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell", "pivot")
+        # cells of one component are done with
+        open_cells = cut(placed.join(pivots, "cell"), "open")
+        members = open_cells.select("cell", "key")
+        pairs = open_cells.filter("comp <> pivot.comp").select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
         near = bounded(pairs.join(point("a"), "a").join(point("b"), "b"), terms)
-        best = near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
-        found = joined(labels, verified(best, sets, terms))
+        near = near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+        found = joined(labels, verified(near, sets, terms))
         release(spark)
         if found is None:
             break
