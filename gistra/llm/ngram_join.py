@@ -122,7 +122,8 @@ def cells(u: np.ndarray, terms: Terms) -> np.ndarray:
         if terms.largest(n) <= ladder[level]:
             break
         level += 1
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    # 48 bits do: cells that meet by chance only cost a look, and cleared bytes compress in shuffles
+    return (np.concatenate(out) & U(0xFFFFFFFFFFFF0000)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
@@ -286,7 +287,7 @@ def _block_pairs(terms: Terms):
 
 def members_of_shared_cells(profile: DataFrame) -> DataFrame:
     """(cell, key) of the cells that hold more than one class."""
-    rows = profile.filter("cells IS NOT NULL").select("key", F.explode("cells").alias("cell"))
+    rows = profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key")
     shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cell")
     return cut(rows.join(shared, "cell").select("cell", "key").distinct(), "members")
 
@@ -329,7 +330,9 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
     spark = docs.sparkSession
     members = members_of_shared_cells(profile)
     release(spark)
-    classes = cut(profile.join(members.select("key").distinct(), "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
+    inside = cut(members.select("key").distinct(), "inside")
+    known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
+    classes = cut(known.join(inside, "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
     sets = class_sets(docs, classes, terms, id_col, text_col)
     release(spark)
     labels = classes.select("key", F.col("key").alias("comp"))
