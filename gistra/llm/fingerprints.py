@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistra.llm.text import column, slices
-from gistra.staging import cut
+from gistra.staging import cut, release
 
 LOW, HIGH, FEW = 0.004, 0.2, 5
 LEVELS, SEEDS, LEAST = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 8, 3
@@ -98,30 +98,27 @@ class Maker:
         self.seeds = np.arange(1, len(LEVELS) * SEEDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         self.limits = np.repeat([np.uint64(int(q * (1 << 53)) << 11) for q in LEVELS], SEEDS).astype(np.uint64)
 
-    def __call__(self, text: str) -> list[str]:
-        """The subsets' hashes, 8 hex digits each, empty for an empty subset."""
+    def __call__(self, text: str) -> np.ndarray:
+        """The subsets' 32-bit hashes, 0 for an empty subset."""
         terms = self.hashes.of(text)
         if len(terms) and len(self.words):
             at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
             kept = terms[self.words[at] == terms]
             terms = kept if len(kept) >= FEW else terms
         if not len(terms):
-            return [""] * len(self.seeds)
+            return np.zeros(len(self.seeds), ">u4")
         inside = _mixed(terms.view(np.uint64)[None, :] ^ self.seeds[:, None]) < self.limits[:, None]
-        return [xxhash.xxh32_hexdigest(terms[row].tobytes()) if row.any() else "" for row in inside]
+        return np.array([xxhash.xxh32_intdigest(terms[row].tobytes()) or 1 if row.any() else 0 for row in inside], ">u4")
 
 
-def likeness(a: list[str], b: list[str]) -> float:
-    if a == b:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    if (a == b).all():
         return 1.0
-    best, equal, filled = 0.0, 0, 0
-    for k in range(0, len(a), SEEDS):
-        pairs = [(x, y) for x, y in zip(a[k : k + SEEDS], b[k : k + SEEDS]) if x or y]
-        same = sum(x == y for x, y in pairs)
-        equal, filled = equal + same, filled + len(pairs)
-        if len(pairs) >= LEAST:
-            best = max(best, same / len(pairs))
-    return max(best, equal / filled) if filled else 1.0
+    filled = ((a != 0) | (b != 0)).reshape(-1, SEEDS)
+    same = (a == b).reshape(-1, SEEDS) & filled
+    n, equal = filled.sum(1), same.sum(1)
+    best = (equal[n >= LEAST] / n[n >= LEAST]).max(initial=0.0)
+    return float(max(best, equal.sum() / n.sum()))
 
 
 def edited(text: str, following: str) -> str:
@@ -135,14 +132,14 @@ def fingerprint_neighbours(docs: DataFrame, words: np.ndarray, id_col: str = "do
     shared = spark.sparkContext.broadcast(words)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    result = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    result = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def compare(maker, text, fp, following, following_fp):
         new = edited(text, following)
         new_fp = fp if new == text else maker(new)
-        return len(text), hashlib.sha256(new.encode("utf-8")).hexdigest(), ".".join(fp), ".".join(new_fp), likeness(fp, new_fp), likeness(fp, following_fp)
+        return len(text), hashlib.sha256(new.encode("utf-8")).hexdigest(), fp.tobytes(), new_fp.tobytes(), likeness(fp, new_fp), likeness(fp, following_fp)
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def pairs(batches):
@@ -185,9 +182,12 @@ def fingerprint_neighbours(docs: DataFrame, words: np.ndarray, id_col: str = "do
                 out = [compare(maker, t, maker(t), f, maker(f)) for t, f in zip(column(part, "text").to_pylist(), column(part, "following").to_pylist())]
                 yield pa.RecordBatch.from_arrays([column(part, "id"), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names)
 
-    return done.filter("edge = 0").select(*names).unionByName(open_ends.mapInArrow(close, result))
+    every = done.filter("edge = 0").select(*names).unionByName(open_ends.mapInArrow(close, result))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fingerprint_neighbours(docs, lexicon(docs))
+    words = lexicon(docs)
+    release(spark)  # the counts' shuffle files aren't needed beside the texts'
+    return fingerprint_neighbours(docs, words)
