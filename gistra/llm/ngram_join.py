@@ -7,8 +7,10 @@ with a tree in two tiers.
 Tier 1 deals points to cells. Documents at the threshold differ in few shingles for their size, so when the
 shingles are hashed into one group more than that many, some group is the same in both. A document is in the
 cell of each of its groups' contents; the number of groups follows from the size of the larger partner, and
-a document also takes the scheme of the size class above when its partners can reach there. No link is lost,
-and a shingle that many documents share makes no large cell by itself.
+a document also takes the scheme of the size class above when its partners can reach there. There are more
+groups than that, so several stay equal, and groups of very few shingles, which unrelated documents share,
+are passed over wherever a document has fewer of them than groups that stay equal. No link is lost, and a
+shingle that many documents share makes no large cell by itself.
 
 Tier 2 is an R-tree within a cell: leaves of near points with their coordinate maxima. Leaves and then points
 whose summed minima are below the overlap needed are dropped; survivors are verified on whole sets.
@@ -67,6 +69,10 @@ class Terms(NamedTuple):
         """Most shingles by which linked sets of at most ``n`` shingles differ in all."""
         return 2 * n - 2 * int(self.needed(2 * n))
 
+    def groups(self, apart: int) -> tuple[int, int]:
+        """How many groups to use where sets differ by ``apart``, and up to which size groups are passed over."""
+        return (-(-23 * (apart + 1) // 20), 4) if self.percent >= 90 else (-(-27 * (apart + 1) // 20), 1)
+
 
 @lru_cache(64)
 def size_classes(terms: Terms) -> list[int]:
@@ -113,12 +119,16 @@ def cells(u: np.ndarray, terms: Terms) -> np.ndarray:
     content = np.concatenate([np.zeros(1, U), np.cumsum(mixed(u + U(0x9E3779B97F4A7C15)))])
     out = []
     while True:
-        groups = terms.apart(ladder[level]) + 1
-        if groups > 1:  # one group: only equal sets, which are one class anyway
+        apart = terms.apart(ladder[level])
+        if apart:  # else only equal sets, which are one class anyway
+            groups, tiny = terms.groups(apart)
             # groups are ranges of the hash, so a sorted set has them in order
             at = ((u >> U(40)) * U(groups)) >> U(24)
             edges = np.searchsorted(at, np.arange(groups + 1, dtype=U))
-            out.append(mixed(mixed(content[edges[1:]] - content[edges[:-1]]) + (U(level) << U(40)) + np.arange(groups, dtype=U)))
+            own = mixed(mixed(content[edges[1:]] - content[edges[:-1]]) + (U(level) << U(40)) + np.arange(groups, dtype=U))
+            large = np.diff(edges) > tiny
+            # more groups stay equal than are tiny here: one of those not tiny does, and they are enough
+            out.append(own[large] if groups - apart > groups - large.sum() else own)
         if terms.largest(n) <= ladder[level]:
             break
         level += 1
