@@ -20,8 +20,8 @@ from the start. In each of ``ROUNDS`` rounds every class meets one pivot of the
 one component, and verified links join components; what is then still in cells with several components goes
 through the R-tree, all pairs of different components, in blocks of bounded size.
 
-Scale: shuffles carry 8-byte hashes, about n / 6 for a document of n shingles; texts of classes that share a
-cell move once. Cells are aggregated before their members are joined, the join is splittable when skewed,
+Scale: shuffles carry 8-byte hashes, about n / 6 for a document of n shingles; texts move only of classes in a
+pair that the bounds leave. Cells are aggregated before their members are joined, the join is splittable when skewed,
 and R-tree blocks are bounded. Labels move by joins, never to the driver.
 
 Defined cases: null and wordless texts have an empty set and no links; texts shorter than a shingle are one
@@ -181,10 +181,10 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, bound long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets are linked."""
+def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets are linked; ``sets_of`` gives the sets of a table of keys."""
     pairs = cut(pairs.select("a", "b"), "pairs")
-    sets = probably_in(sets, "key", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -299,7 +299,8 @@ def members_of_shared_cells(profile: DataFrame) -> DataFrame:
     """(cell, key) of the cells that hold more than one class."""
     rows = profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key")
     shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cell")
-    return cut(rows.join(shared, "cell").select("cell", "key").distinct(), "members")
+    shared = cut(shared, "shared")
+    return cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key").distinct(), "members")
 
 
 def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -343,8 +344,12 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
     inside = cut(members.select("key").distinct(), "inside")
     known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
     classes = cut(known.join(inside, "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
-    sets = class_sets(docs, classes, terms, id_col, text_col)
     release(spark)
+
+    def sets(keys):
+        """Texts are read again for the classes that have come so far, which are few, and no others move."""
+        return class_sets(docs, cut(classes.select("key", "rep").join(keys, "key"), "wanted"), terms, id_col, text_col)
+
     labels = classes.select("key", F.col("key").alias("comp"))
     point = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
 
