@@ -45,8 +45,11 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Joined runs of n words; none if there are fewer."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Joined runs of n words; none if there are fewer. ``words`` is evaluated n times, not once for a run."""
+    out = words
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(j + 1), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def kmers(text: Column, k: int) -> Column:
