@@ -100,9 +100,11 @@ def likeliest(counts: np.ndarray, p: int, q: int) -> float:
     width = np.where(k == 0, 1.0, 2.0 ** -np.minimum(k, q))
 
     def score(n):
-        x = n / m * width
-        full = -width / m * counts  # derivative of log exp(-x)
-        return full[0] + np.sum((full + counts * width / m / -np.expm1(-x))[1 : q + 1]) - 0 * x[0] + counts[q + 1] * (width[q + 1] / m) * math.exp(-x[q + 1]) / -math.expm1(-x[q + 1])
+        """Derivative of the log likelihood; P(k) is exp(-x_0), exp(-x_k) (1 - exp(-x_k)), 1 - exp(-x_q)."""
+        w = width / m
+        with np.errstate(over="ignore"):
+            first = counts * w / np.expm1(n * w)  # of the factors 1 - exp(-x)
+        return first[1:].sum() - (counts * w)[: q + 1].sum()
 
     lo, hi = 1e-6, 1.0
     while score(hi) > 0:
