@@ -4,24 +4,29 @@ A document is the set of its distinct word shingles. Hashing shingles into group
 counts, and for two documents the summed coordinate minima bound the overlap from above. Points are searched
 with a tree in two tiers.
 
-Tier 1 deals points to cells. Documents at the threshold differ in few shingles for their size, so when the
-shingles are hashed into one group more than that many, some group is the same in both. A document is in the
-cell of each of its groups' contents; the number of groups follows from the size of the larger partner, and
-a document also takes the scheme of the size class above when its partners can reach there. There are more
-groups than that, so several stay equal, and groups of very few shingles, which unrelated documents share,
-are passed over wherever a document has fewer of them than groups that stay equal. No link is lost, and a
-shingle that many documents share makes no large cell by itself.
+Tier 1 deals points to cells. Of two linked sets in one order of hashes, the smallest common shingle is in the
+prefix of each: one shingle more than a linked set can lack. A cell is a shingle of prefixes, n / 5 of them for
+n shingles at a similarity of 0.8. A passage that many documents share would make large cells, so shingles in
+more than ``COMMON`` prefixes are common, and their holders meet elsewhere: in the cells of group contents. Linked
+sets differ in few shingles for their size, so when shingles are hashed into one group more than that many, some
+group is the same in both. The number of groups follows from the size of the larger partner, and a document also
+takes the scheme of the size class above when its partners can reach there. There are more groups than that, so
+several stay equal, and groups of very few shingles, which unrelated documents share, are passed over wherever
+a document has fewer of them than groups that stay equal. No link is lost.
 
 Tier 2 is an R-tree within a cell: leaves of near points with their coordinate maxima. Leaves and then points
 whose summed minima are below the overlap needed are dropped; survivors are verified on whole sets.
 
+Cells of at most ``COMMON`` points are a few leaves: their pairs of like sizes are made first and points joined to
+the distinct ones. Before verification, pairs pass a bound by points of n / 4 coordinates.
+
 Links are wanted as components, so not all pairs of a cell of copies are looked at. Equal sets are one class
 from the start. In each of ``ROUNDS`` rounds every class meets one pivot of the cells that hold more than
 one component, and verified links join components; what is then still in cells with several components goes
 through the R-tree, all pairs of different components, in blocks of bounded size.
 
-Scale: shuffles carry 8-byte hashes, about n / 6 for a document of n shingles; texts move only of classes in a
-pair that the bounds leave. Cells are aggregated before their members are joined, the join is splittable when skewed,
+Scale: shuffles carry 8-byte hashes, n / 10 to n / 5 for a document of n shingles; texts move only of holders of
+common shingles and of classes in a pair that the bounds leave. Cells are aggregated before their members are joined, the join is splittable when skewed,
 and R-tree blocks are bounded. Labels move by joins, never to the driver.
 
 Defined cases: null and wordless texts have an empty set and no links; texts shorter than a shingle are one
@@ -44,7 +49,7 @@ from pyspark.sql import functions as F
 from gistra.llm.text import column, slices, utf8
 from gistra.staging import cut, release
 
-GROUPS, FOLD, LEAF, BLOCK, ROUNDS = 128, 4, 16, 512, 3
+GROUPS, FOLD, LEAF, BLOCK, ROUNDS, COMMON = 128, 4, 16, 512, 3, 64
 PAIRS_AT_ONCE, FILTER_BITS = 100_000, 27
 U = np.uint64
 
@@ -103,10 +108,11 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
             continue
         h = np.fromiter(map(known.__getitem__, ws), U, len(ws))
         k = min(words, len(ws))
-        x = mixed(h[: len(h) - k + 1] + U(k))
+        # words are hashed already: a polynomial of them keeps their order, one mix spreads it
+        x = h[: len(h) - k + 1] + U(k)
         for i in range(1, k):
-            x = mixed(x * U(3) + h[i : len(h) - k + 1 + i])
-        out.append(np.unique(x))
+            x = x * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+        out.append(np.unique(mixed(x)))
     return out
 
 
@@ -136,8 +142,13 @@ def cells(u: np.ndarray, terms: Terms) -> np.ndarray:
     return (np.concatenate(out) & U(0xFFFFFFFFFFFF0000)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def prefix(u: np.ndarray, terms: Terms) -> np.ndarray:
+    """The smallest shingles of a sorted set, one more than a linked set can lack, as cells."""
+    return (u[: len(u) - terms.smallest(len(u)) + 1] & U(0xFFFFFFFFFFFF0000)).view(np.int64) if len(u) else np.zeros(0, np.int64)
+
+
 def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, class key, group counts and cells of each document (cells once for a class in each task)."""
+    """doc_id, n, class key, group counts and prefix of each document (prefix once for a class in each task)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -148,7 +159,7 @@ def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFra
                 keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in sets]
                 own = []
                 for u, k in zip(sets, keys):
-                    own.append(None if k in seen else cells(u, terms))
+                    own.append(None if k in seen else prefix(u, terms))
                     seen.add(k)
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -181,10 +192,49 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, bound long")
 
 
+def fine_points(sets: DataFrame) -> DataFrame:
+    """(key, n, fine): points of about n / 4 coordinates, a power of two; the first byte is a coordinate's width."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, points = [], []
+            for x in column(batch, "shingles"):
+                u = np.frombuffer(x.as_buffer(), U)
+                groups = 1 << max(7, (len(u) // 4).bit_length())
+                counts = np.bincount((u & U(groups - 1)).astype(np.int64), minlength=groups)
+                width = 1 if counts.max() < 256 else 4
+                sizes.append(len(u))
+                points.append(bytes([width]) + counts.astype(f"<u{width}").tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["key", "n", "fine"])
+
+    return sets.mapInArrow(run, "key long, n long, fine binary")
+
+
+def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
+    """Pairs (a, b) whose fine points still allow the overlap needed; the finer of two is summed to the coarser."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y, total in zip(column(batch, "f_a"), column(batch, "f_b"), (column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy()).tolist()):
+                x, y = x.as_buffer(), y.as_buffer()
+                x, y = (np.frombuffer(v, f"<u{v[:1].to_pybytes()[0]}", offset=1) for v in (x, y))
+                least = min(len(x), len(y))
+                x, y = (v.reshape(-1, least).sum(0, dtype=np.int64) for v in (x, y))
+                ok.append(int(np.minimum(x, y).sum()) >= terms.needed(total))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
+
+    points = cut(fine_points(sets), "fine")
+    side = lambda s: points.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"f_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are linked; ``sets_of`` gives the sets of a table of keys."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    pairs = cut(finely_bounded(pairs, sets, terms), "likely")
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -295,12 +345,52 @@ def _block_pairs(terms: Terms):
     return run
 
 
-def members_of_shared_cells(profile: DataFrame) -> DataFrame:
-    """(cell, key) of the cells that hold more than one class."""
-    rows = profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key")
-    shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("cell")
+def _small_cell_pairs(terms: Terms):
+    """For rows sorted by (cell, n): pairs of different components of like sizes in a cell. A cell has at most
+    ``COMMON`` rows, so as many rows are held over from one batch to the next."""
+    fields = ["cell", "key", "comp", "n"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            old = len(held[0])
+            cell, key, comp, n = held = [np.concatenate([h, column(batch, c).to_numpy().astype(np.int64)]) for h, c in zip(held, fields)]
+            here, out = np.arange(len(cell)), []
+            for lag in range(1, COMMON):
+                here = here[here + lag < len(cell)]
+                # sizes rise within a cell: who has no partner at this lag has none beyond
+                here = here[(cell[here] == cell[here + lag]) & (100 * n[here] >= terms.percent * n[here + lag])]
+                if not len(here):
+                    break
+                x = here[here + lag >= old]
+                x = x[comp[x] != comp[x + lag]]
+                out.append(np.stack([np.minimum(key[x], key[x + lag]), np.maximum(key[x], key[x + lag])], 1))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            held = [h[-COMMON:] for h in held]
+
+    return run
+
+
+def in_shared_cells(rows: DataFrame) -> DataFrame:
+    """Of rows (cell, key) those of cells that hold more than one class, with the number of rows there (size)."""
+    shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
     shared = cut(shared, "shared")
-    return cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key").distinct(), "members")
+    return cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "size").distinct(), "members")
+
+
+def members_of_shared_cells(profile: DataFrame, contents_of) -> DataFrame:
+    """(cell, key) of the cells that hold more than one class; ``contents_of`` gives (key, cells) of a table of keys.
+
+    Linked sets share a shingle of their prefixes. If it is common, both are among the holders of common
+    shingles, and those meet in the cells of their groups' contents.
+    """
+    first = in_shared_cells(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key"))
+    holders = cut(first.filter(F.col("size") > COMMON).select("key").distinct(), "holders")
+    again = in_shared_cells(contents_of(holders).select(F.explode("cells").alias("cell"), "key"))
+    return cut(first.filter(F.col("size") <= COMMON).select("cell", "key").unionByName(again.select("cell", "key")), "members")
 
 
 def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -315,31 +405,38 @@ def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     pieces = ids.select(F.shiftright(at, 15).alias("piece"), at.bitwiseAND(32767).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
     here = rows.withColumn("place_", place(F.col(id_col))).withColumn("piece_", F.shiftright("place_", 15))
     found = here.join(F.broadcast(pieces), F.col("piece_") == F.col("piece"))
-    byte = F.conv(F.hex(F.expr("substring(map, cast((place_ & 32767) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    byte = F.expr("ascii(decode(substring(map, cast((place_ & 32767) div 8 as int) + 1, 1), 'ISO-8859-1'))")
     return found.filter(F.expr("shiftleft(1, cast(place_ & 7 as int))").bitwiseAND(byte) != 0).select(*rows.columns)
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
-    """(key, shingles) of the classes, from the texts of their representatives."""
+def from_texts(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, text_col: str, make, name: str, kind: str) -> DataFrame:
+    """(key, ``name``) of the classes (key, rep): ``make`` of their sets, from the texts of their representatives."""
+    schema = f"key long, {name} {kind}"
 
-    def sets_of(batches):
+    def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = shingle_sets(utf8(part, "t"), terms.words)
                 # a rep's id may be that of several rows: only the one with the class's set counts
                 keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in sets]
-                ok = pa.array([k == w for k, w in zip(keys, column(part, "key").to_pylist())])
-                yield pa.RecordBatch.from_arrays([column(part, "key").filter(ok), pa.array([u.tobytes() for u in sets], pa.binary()).filter(ok)], ["key", "shingles"])
+                ok = [k == w for k, w in zip(keys, column(part, "key").to_pylist())]
+                made = pa.array([make(u) for u, good in zip(sets, ok) if good], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([column(part, "key").filter(pa.array(ok, pa.bool_())), made], ["key", name])
 
     texts = probably_in(docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("t")), "rep_id", classes.select(F.col("rep").alias("id")))
     chosen = texts.join(classes.select("key", F.col("rep").alias("rep_id")), "rep_id").select("key", "t")
-    return cut(chosen.mapInArrow(sets_of, "key long, shingles binary"), "sets")  # a class may come twice where ids repeat
+    return cut(chosen.mapInArrow(run, schema), name)  # a class may come twice where ids repeat
 
 
 def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
     """(key, comp) of the classes that share a cell with another one; the rest are on their own."""
     spark = docs.sparkSession
-    members = members_of_shared_cells(profile)
+
+    def contents_of(keys):
+        reps = probably_in(profile.select("id", "key"), "key", keys.select(F.col("key").alias("id"))).join(keys, "key").groupBy("key").agg(F.min("id").alias("rep"))
+        return from_texts(docs, cut(reps, "reps"), terms, id_col, text_col, lambda u: cells(u, terms), "cells", "array<bigint>")
+
+    members = members_of_shared_cells(profile, contents_of)
     release(spark)
     inside = cut(members.select("key").distinct(), "inside")
     known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
@@ -348,8 +445,10 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
 
     def sets(keys):
         """Texts are read again for the classes that have come so far, which are few, and no others move."""
-        return class_sets(docs, cut(classes.select("key", "rep").join(keys, "key"), "wanted"), terms, id_col, text_col)
+        wanted = cut(classes.select("key", "rep").join(keys, "key"), "wanted")
+        return from_texts(docs, wanted, terms, id_col, text_col, lambda u: u.tobytes(), "shingles", "binary")
 
+    members = cut(members.join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), "sized")
     labels = classes.select("key", F.col("key").alias("comp"))
     point = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
 
@@ -362,13 +461,15 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         moved = connected(edges).withColumnRenamed("node", "comp")
         return cut(labels.join(moved, "comp", "left").select("key", F.coalesce("label", "comp").alias("comp")), "comps")
 
+    kinds = labels.count()
     for turn in range(ROUNDS):
         placed = members.join(labels, "key")
-        pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell", "pivot")
+        pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp", "n"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell", "pivot")
         # cells of one component are done with
         open_cells = cut(placed.join(pivots, "cell"), "open")
-        members = open_cells.select("cell", "key")
-        pairs = open_cells.filter("comp <> pivot.comp").select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
+        members = open_cells.select("cell", "key", "n")
+        alike = 100 * F.least("n", "pivot.n").cast("long") >= terms.percent * F.greatest("n", "pivot.n").cast("long")
+        pairs = open_cells.filter("comp <> pivot.comp").filter(alike).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
         near = bounded(pairs.join(point("a"), "a").join(point("b"), "b"), terms)
         near = near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
         found = joined(labels, verified(near, sets, terms))
@@ -376,14 +477,24 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         if found is None:
             break
         labels = found
-    # all pairs of different components in the cells that still have several, block by block
+        # a round that joins few components is the last: what is left doesn't consist of large groups
+        was, kinds = kinds, labels.select("comp").distinct().count()
+        if 100 * (was - kinds) < kinds:
+            break
+    # all pairs of different components in the cells that still have several
     placed = members.join(labels, "key")
-    left = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(left, "cell").join(classes.select("key", "n", "counts"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    left = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
+    rest = cut(placed.join(left, "cell"), "rest")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # small cells, a few leaves each, give pairs of keys; points are joined to the distinct ones
+    small = rest.filter(F.col("size") <= COMMON).select("cell", "key", "comp", "n").repartition(parts, "cell").sortWithinPartitions("cell", "n")
+    near = cut(small.mapInArrow(_small_cell_pairs(terms), "a long, b long").distinct(), "near")
+    near = bounded(near.join(point("a"), "a").join(point("b"), "b"), terms).select("a", "b")
+    # large ones go through the tree, block by block
+    large = rest.filter(F.col("size") > COMMON).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(classes.select("key", "counts"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    pairs = grouped.mapInArrow(_block_pairs(terms), "a long, b long").distinct()
+    pairs = near.unionByName(grouped.mapInArrow(_block_pairs(terms), "a long, b long")).distinct()
     found = joined(labels, verified(pairs, sets, terms))
     return labels if found is None else found
 
