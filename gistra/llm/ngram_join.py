@@ -12,7 +12,8 @@ sets differ in few shingles for their size, so when shingles are hashed into one
 group is the same in both. The number of groups follows from the size of the larger partner, and a document also
 takes the scheme of the size class above when its partners can reach there. There are more groups than that, so
 several stay equal, and groups of very few shingles, which unrelated documents share, are passed over wherever
-a document has fewer of them than groups that stay equal. No link is lost.
+a document has fewer of them than groups that stay equal. At similarities from 0.9 the contents of groups are
+few and take all documents, without prefixes. No link is lost.
 
 Tier 2 is an R-tree within a cell: leaves of near points with their coordinate maxima. Leaves and then points
 whose summed minima are below the overlap needed are dropped; survivors are verified on whole sets.
@@ -74,6 +75,11 @@ class Terms(NamedTuple):
         """Most shingles by which linked sets of at most ``n`` shingles differ in all."""
         return 2 * n - 2 * int(self.needed(2 * n))
 
+    @property
+    def prefixes(self) -> bool:
+        """Whether prefixes go first: at 0.9 the contents of groups are few, about n / 6 cells, and take all."""
+        return self.percent < 90
+
     def groups(self, apart: int) -> tuple[int, int]:
         """How many groups to use where sets differ by ``apart``, and up to which size groups are passed over."""
         return (-(-23 * (apart + 1) // 20), 4) if self.percent >= 90 else (-(-27 * (apart + 1) // 20), 1)
@@ -148,7 +154,7 @@ def prefix(u: np.ndarray, terms: Terms) -> np.ndarray:
 
 
 def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, class key, group counts and prefix of each document (prefix once for a class in each task)."""
+    """doc_id, n, class key, group counts and prefix of each document (prefix, or cells of group contents, once for a class in each task)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -159,7 +165,7 @@ def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFra
                 keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in sets]
                 own = []
                 for u, k in zip(sets, keys):
-                    own.append(None if k in seen else prefix(u, terms))
+                    own.append(None if k in seen else (prefix if terms.prefixes else cells)(u, terms))
                     seen.add(k)
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -381,13 +387,15 @@ def in_shared_cells(rows: DataFrame) -> DataFrame:
     return cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "size").distinct(), "members")
 
 
-def members_of_shared_cells(profile: DataFrame, contents_of) -> DataFrame:
+def members_of_shared_cells(profile: DataFrame, contents_of, terms: Terms) -> DataFrame:
     """(cell, key) of the cells that hold more than one class; ``contents_of`` gives (key, cells) of a table of keys.
 
     Linked sets share a shingle of their prefixes. If it is common, both are among the holders of common
     shingles, and those meet in the cells of their groups' contents.
     """
     first = in_shared_cells(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key"))
+    if not terms.prefixes:
+        return first.select("cell", "key")
     holders = cut(first.filter(F.col("size") > COMMON).select("key").distinct(), "holders")
     again = in_shared_cells(contents_of(holders).select(F.explode("cells").alias("cell"), "key"))
     return cut(first.filter(F.col("size") <= COMMON).select("cell", "key").unionByName(again.select("cell", "key")), "members")
@@ -436,7 +444,7 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         reps = probably_in(profile.select("id", "key"), "key", keys.select(F.col("key").alias("id"))).join(keys, "key").groupBy("key").agg(F.min("id").alias("rep"))
         return from_texts(docs, cut(reps, "reps"), terms, id_col, text_col, lambda u: cells(u, terms), "cells", "array<bigint>")
 
-    members = members_of_shared_cells(profile, contents_of)
+    members = members_of_shared_cells(profile, contents_of, terms)
     release(spark)
     inside = cut(members.select("key").distinct(), "inside")
     known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
