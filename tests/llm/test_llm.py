@@ -117,8 +117,9 @@ def shingles(t, w):
     return frozenset(tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)) if len(ws) >= w else frozenset([tuple(ws)] if ws else [])
 
 
-@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_ngram_join_against_brute_force(spark, words, percent):
+@pytest.mark.parametrize("words,percent,common", [(3, 90, 64), (5, 80, 64), (5, 80, 3)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, common):
+    monkeypatch.setattr(ngram_join, "COMMON", common)  # at 3 holders of common shingles and the tree are needed
     r = random.Random(6)
     texts = list(ODD)
     for g in range(6):
