@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistra.llm.text import column, slices, utf8
-from gistra.staging import cut, release
+from gistra.staging import cut, discard, release
 
 GROUPS, FOLD, LEAF, BLOCK, ROUNDS, COMMON = 128, 4, 16, 512, 3, 64
 PAIRS_AT_ONCE, FILTER_BITS = 100_000, 27
@@ -233,14 +233,16 @@ def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame
 
     points = cut(fine_points(sets), "fine")
     side = lambda s: points.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"f_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct(), "likely")
+    discard(points)
+    return likely
 
 
 def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are linked; ``sets_of`` gives the sets of a table of keys."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    pairs = cut(finely_bounded(pairs, sets, terms), "likely")
+    likely = finely_bounded(pairs, sets, terms)
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -253,7 +255,9 @@ def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    links = cut(likely.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "verified")
+    discard(pairs, likely, sets)
+    return links
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -381,24 +385,33 @@ def _small_cell_pairs(terms: Terms):
 
 
 def in_shared_cells(rows: DataFrame) -> DataFrame:
-    """Of rows (cell, key) those of cells that hold more than one class, with the number of rows there (size)."""
+    """Of rows (cell, key) those of cells that hold more than one class, with the number of rows there (size); a staged table."""
     shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
     shared = cut(shared, "shared")
-    return cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "size").distinct(), "members")
+    release(rows.sparkSession)
+    members = cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "size").distinct(), "members")
+    discard(shared)
+    release(rows.sparkSession)
+    return members
 
 
 def members_of_shared_cells(profile: DataFrame, contents_of, terms: Terms) -> DataFrame:
-    """(cell, key) of the cells that hold more than one class; ``contents_of`` gives (key, cells) of a table of keys.
+    """Staged table with (cell, key) of the cells that hold more than one class; ``contents_of`` gives a staged table
+    (key, cells) of a table of keys.
 
     Linked sets share a shingle of their prefixes. If it is common, both are among the holders of common
     shingles, and those meet in the cells of their groups' contents.
     """
     first = in_shared_cells(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key"))
     if not terms.prefixes:
-        return first.select("cell", "key")
+        return first
     holders = cut(first.filter(F.col("size") > COMMON).select("key").distinct(), "holders")
-    again = in_shared_cells(contents_of(holders).select(F.explode("cells").alias("cell"), "key"))
-    return cut(first.filter(F.col("size") <= COMMON).select("cell", "key").unionByName(again.select("cell", "key")), "members")
+    contents = contents_of(holders)
+    release(profile.sparkSession)
+    again = in_shared_cells(contents.select(F.explode("cells").alias("cell"), "key"))
+    members = cut(first.filter(F.col("size") <= COMMON).select("cell", "key").unionByName(again.select("cell", "key")), "members")
+    discard(first, holders, contents, again)
+    return members
 
 
 def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -442,21 +455,30 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
 
     def contents_of(keys):
         reps = probably_in(profile.select("id", "key"), "key", keys.select(F.col("key").alias("id"))).join(keys, "key").groupBy("key").agg(F.min("id").alias("rep"))
-        return from_texts(docs, cut(reps, "reps"), terms, id_col, text_col, lambda u: cells(u, terms), "cells", "array<bigint>")
+        reps = cut(reps, "reps")
+        contents = from_texts(docs, reps, terms, id_col, text_col, lambda u: cells(u, terms), "cells", "array<bigint>")
+        discard(reps)
+        return contents
 
     members = members_of_shared_cells(profile, contents_of, terms)
     release(spark)
     inside = cut(members.select("key").distinct(), "inside")
     known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
     classes = cut(known.join(inside, "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
+    discard(inside)
     release(spark)
 
     def sets(keys):
         """Texts are read again for the classes that have come so far, which are few, and no others move."""
         wanted = cut(classes.select("key", "rep").join(keys, "key"), "wanted")
-        return from_texts(docs, wanted, terms, id_col, text_col, lambda u: u.tobytes(), "shingles", "binary")
+        found = from_texts(docs, wanted, terms, id_col, text_col, lambda u: u.tobytes(), "shingles", "binary")
+        discard(wanted)
+        return found
 
-    members = cut(members.join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), "sized")
+    staged = cut(members.select("cell", "key").join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), "sized")
+    discard(members)
+    release(spark)
+    members = staged
     labels = classes.select("key", F.col("key").alias("comp"))
     point = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
 
@@ -475,7 +497,9 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp", "n"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell", "pivot")
         # cells of one component are done with
         open_cells = cut(placed.join(pivots, "cell"), "open")
-        members = open_cells.select("cell", "key", "n")
+        discard(staged)
+        release(spark)
+        staged, members = open_cells, open_cells.select("cell", "key", "n")
         alike = 100 * F.least("n", "pivot.n").cast("long") >= terms.percent * F.greatest("n", "pivot.n").cast("long")
         pairs = open_cells.filter("comp <> pivot.comp").filter(alike).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
         near = bounded(pairs.join(point("a"), "a").join(point("b"), "b"), terms)
@@ -493,17 +517,23 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
     placed = members.join(labels, "key")
     left = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
     rest = cut(placed.join(left, "cell"), "rest")
+    discard(staged)
+    release(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # small cells, a few leaves each, give pairs of keys; points are joined to the distinct ones
     small = rest.filter(F.col("size") <= COMMON).select("cell", "key", "comp", "n").repartition(parts, "cell").sortWithinPartitions("cell", "n")
-    near = cut(small.mapInArrow(_small_cell_pairs(terms), "a long, b long").distinct(), "near")
-    near = bounded(near.join(point("a"), "a").join(point("b"), "b"), terms).select("a", "b")
+    like_sized = cut(small.mapInArrow(_small_cell_pairs(terms), "a long, b long").distinct(), "near")
+    release(spark)
+    near = bounded(like_sized.join(point("a"), "a").join(point("b"), "b"), terms).select("a", "b")
     # large ones go through the tree, block by block
     large = rest.filter(F.col("size") > COMMON).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(classes.select("key", "counts"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     pairs = near.unionByName(grouped.mapInArrow(_block_pairs(terms), "a long, b long")).distinct()
-    found = joined(labels, verified(pairs, sets, terms))
+    links = verified(pairs, sets, terms)
+    discard(rest, like_sized)
+    found = joined(labels, links)
+    release(spark)
     return labels if found is None else found
 
 
