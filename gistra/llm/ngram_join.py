@@ -72,8 +72,8 @@ class Terms(NamedTuple):
         return 100 * n // self.percent
 
     def apart(self, n: int) -> int:
-        """Most shingles by which linked sets of at most ``n`` shingles differ in all."""
-        return 2 * n - 2 * int(self.needed(2 * n))
+        """Most shingles by which linked sets of at most ``n`` shingles differ in all; an odd total may allow more than an even one."""
+        return max(t - 2 * int(self.needed(t)) for t in (2 * n, 2 * n - 1))
 
     @property
     def prefixes(self) -> bool:

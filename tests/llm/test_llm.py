@@ -149,6 +149,32 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, comm
     assert kept == {i for i in sets if find(i) == i}
 
 
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_linked_sets_share_a_cell(words, percent):
+    terms, r = ngram_join.Terms(words, percent), random.Random(8)
+    for n in range(1, 200):
+        assert terms.apart(n) == max(t - 2 * terms.needed(t) for t in range(1, 2 * n + 1))
+    for n in range(3, 61):
+        for _ in range(20):
+            ws = [f"w{r.randrange(10**6)}" for _ in range(n + 1)]
+            a, b = ngram_join.shingle_sets([" ".join(ws[:n]).encode(), " ".join(ws).encode()], words)
+            if len(a) < len(b) and 100 * len(a) >= percent * len(b):
+                assert set(ngram_join.cells(a, terms)) & set(ngram_join.cells(b, terms)), n
+
+
+@pytest.mark.parametrize("words,percent,common", [(3, 90, 64)])
+def test_one_word_appended(spark, monkeypatch, words, percent, common):
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    texts = []
+    for n in range(3, 61):
+        ws = [f"t{n}w{i}" for i in range(n)]
+        texts += [(2 * n, " ".join(ws)), (2 * n + 1, " ".join([*ws, "more"]))]
+    sets = {i: shingles(t, words) for i, t in texts}
+    linked = lambda i: 100 * len(sets[i] & sets[i ^ 1]) >= percent * len(sets[i] | sets[i ^ 1])
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.components(docs(spark, texts), ngram_join.Terms(words, percent)).collect()}
+    assert got == {i: i & ~1 if linked(i) else i for i in sets}
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     counts = rng.poisson(2, (80, ngram_join.GROUPS)).astype(np.int32)
