@@ -175,6 +175,18 @@ def test_one_word_appended(spark, monkeypatch, words, percent, common):
     assert got == {i: i & ~1 if linked(i) else i for i in sets}
 
 
+def test_word_appended_to_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    terms = ngram_join.Terms(5, 80)
+    texts = []
+    for n in (8, 9, 10, 11):
+        passage = " ".join(f"p{n}w{i}" for i in range(n))
+        texts += [(100 * n, passage), *((100 * n + k, f"{passage} x{n}y{k}") for k in range(1, 9))]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.components(docs(spark, texts), terms).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in texts}
+    assert {x["doc_id"] for x in ngram_join.keep_one(docs(spark, texts), terms).collect()} == {800, 900, 1000, 1100}
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     counts = rng.poisson(2, (80, ngram_join.GROUPS)).astype(np.int32)
