@@ -44,10 +44,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gistra.llm.text import column, slices, utf8
+from gistra.llm.text import column, ensure_unique, slices, utf8
 from gistra.staging import cut, discard, release
 
 GROUPS, FOLD, LEAF, BLOCK, ROUNDS, COMMON = 128, 4, 16, 512, 3, 64
@@ -539,19 +540,47 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
 
 def components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
+    return labelled(docs, terms, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def labelled(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """id, n, class key, component and its smallest id of every document."""
     profile = cut(points(docs, terms, id_col, text_col), "points")
     labels = class_labels(docs, profile, terms, id_col, text_col)
-    named = profile.select("id", "n", "key").join(labels, "key", "left").select("id", "n", F.coalesce("comp", "key").alias("comp"))
+    named = profile.select("id", "n", "key").join(labels, "key", "left").select("id", "n", "key", F.coalesce("comp", "key").alias("comp"))
     least = named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    linked = named.filter("n > 0").join(least, "comp").select("id", "n", "least")
-    return linked.unionByName(named.filter("n = 0").select("id", "n", F.col("id").alias("least"))).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    linked = named.filter("n > 0").join(least, "comp").select("id", "n", "key", "comp", "least")
+    return linked.unionByName(named.filter("n = 0").select("id", "n", "key", "comp", F.col("id").alias("least")))
+
+
+def with_keys(docs: DataFrame, terms: Terms, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the key of each row's class."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in shingle_sets(utf8(part, text_col), terms.words)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, terms: Terms = Terms(5, 80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; of rows with equal ids one stays
-    only where they have equal columns. Rows with a null id stay."""
-    gone = components(docs.filter(F.col(id_col).isNotNull()), terms, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone"))
-    return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    """``docs`` with one row of each component, of its smallest id (of several by a hash of the row). Rows without
+    words have no component: all stay, except repetitions in all columns. Rows with a null id stay."""
+    named = cut(labelled(docs.filter(F.col(id_col).isNotNull()), terms, id_col, text_col), "labelled")
+    gone = named.filter("id <> least").select(F.col("id").alias("gone"))
+    repeated = cut(named.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias("gone")), "repeated")
+    if not repeated.limit(1).count():
+        return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    # an id doesn't tell its rows apart: they are known by id and class
+    single = docs.join(gone.unionByName(repeated), docs[id_col] == F.col("gone"), "left_anti")
+    key, i, k, n, comp, least, row, turn = ensure_unique(docs.columns, ["key_", "id_", "k_", "n_", "comp_", "least_", "row_", "turn_"]).values()
+    kinds = named.join(repeated, F.col("id") == F.col("gone"), "left_semi").select(F.col("id").alias(i), F.col("key").alias(k), F.col("n").alias(n), F.col("comp").alias(comp), F.col("least").alias(least)).distinct()
+    several = with_keys(docs.join(repeated, docs[id_col] == F.col("gone"), "left_semi"), terms, text_col, key)
+    placed = several.join(kinds, (F.col(id_col) == F.col(i)) & (F.col(key) == F.col(k))).filter(F.col(i) == F.col(least)).withColumn(row, F.to_json(F.struct(*docs.columns)))
+    same = Window.partitionBy(comp, F.when(F.col(n) == 0, F.col(i)), F.when(F.col(n) == 0, F.col(row))).orderBy(F.xxhash64(row))
+    return single.unionByName(placed.withColumn(turn, F.row_number().over(same)).filter(F.col(turn) == 1).select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

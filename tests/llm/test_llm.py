@@ -187,6 +187,14 @@ def test_word_appended_to_a_common_passage(spark, monkeypatch):
     assert {x["doc_id"] for x in ngram_join.keep_one(docs(spark, texts), terms).collect()} == {800, 900, 1000, 1100}
 
 
+def test_one_row_of_repeated_and_reused_ids(spark):
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, long), (5, long), (5, other), (7, other + " z"), (8, "same row here now ok"), (8, "same row here now ok"), (9, None), (9, None), (9, ""), (3, "three is alone in this one")]
+    df = docs(spark, rows).unionByName(docs(spark, [(2, None)]).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = sorted((x["doc_id"] or 0, x["text"] or "") for x in ngram_join.keep_one(df, ngram_join.Terms(5, 80)).collect())
+    assert kept == sorted([(0, ""), (1, long), (3, rows[-1][1]), (5, other), (8, rows[4][1]), (9, ""), (9, "")])
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     counts = rng.poisson(2, (80, ngram_join.GROUPS)).astype(np.int32)
