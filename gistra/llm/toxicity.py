@@ -2,7 +2,9 @@
 
 A word's input is its own embedding (if the training sample has it often enough) plus the mean embedding
 of its hashed character trigrams, so unseen spellings still have an input. Texts are cut into overlapping
-windows; all of them are scored and the highest window decides the document.
+windows; all of them are scored and the highest window decides the document. A run of more than ``LONGEST``
+letters and digits (scripts without blanks, junk) is read as consecutive words that overlap by two characters:
+all its trigrams are read and windows cover the whole run.
 
 Only documents are labelled, so fitting is multiple-instance: a document's window of highest score stands
 for it, first by smoothed log-odds of its words (which also start the first embedding coordinate), then by
@@ -36,16 +38,20 @@ PER_CLASS = 1500
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, TRIGRAMS = 10, 8, 2048
 CACHE_WORDS = 150_000
+LONGEST = 40
 
 _words = re.compile(r"[^\W_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    return _words(text.lower())
+    words = _words(text.lower())
+    if len(max(words, key=len, default="")) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, max(len(w) - 2, 1), LONGEST - 2)]
 
 
 def trigrams(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return [zlib.crc32(w[i : i + 3].encode()) % TRIGRAMS for i in range(len(w) - 2)]
 
 

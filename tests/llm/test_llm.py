@@ -45,6 +45,18 @@ def test_toxicity_learns_and_scores_odd_texts(spark):
     assert toxicity.fit([("a", 1)]) is None
 
 
+def test_long_words_are_read_to_their_end():
+    r = random.Random(9)
+    for n in (1, 2, 39, 40, 41, 42, 78, 79, 80, 500):
+        run = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        pieces = toxicity.words_of(run)
+        assert max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
+        assert [x for p in pieces for x in toxicity.trigrams(p)[1:-1]] == toxicity.trigrams(run)[1:-1]
+    scorer = toxicity.Scorer(toxicity.Model({}))
+    scores = scorer(["\u6587" * 4000, "\u6587" * 2000 + "\u8bcd\u6c47" * 1000, "\u6587" * 39 + "\u8bcd" * 3])
+    assert len(set(scores)) == 3
+
+
 def test_gru_gradient():
     rng = np.random.default_rng(0)
     x, u, mask, g = rng.normal(size=(3, 5, 12)), rng.normal(size=(4, 12)), np.ones((3, 5)), rng.normal(size=(3, 5, 4))
