@@ -229,10 +229,13 @@ def orders(table: DataFrame, group: str) -> DataFrame:
 
 
 def densified(table: DataFrame, groups: list[str], p: int, tries: int = 64) -> DataFrame:
-    """groups, reg, val with empty registers borrowing from others, picked by hash of register and attempt."""
+    """groups, reg, val with empty registers borrowing from others, picked by hash of register and attempt. A register
+    that finds none in ``tries`` attempts takes the next filled one in circular order, so every group comes out full."""
     m = 1 << p
     have = table.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("reg", "val"))).alias("have"))
     want = have.withColumn("reg", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     order = F.transform(F.sequence(F.lit(0), F.lit(tries)), lambda t: F.when(t == 0, F.col("reg")).otherwise((h60(F.concat(F.col("reg").cast("string"), F.lit("/"), t.cast("string"))) % m).cast("int")))
     first = F.filter(F.transform(order, lambda r: F.element_at("have", r)), lambda v: v.isNotNull())
-    return want.select(*groups, "reg", F.get(first, F.lit(0)).alias("val")).filter("val IS NOT NULL")
+    filled = F.map_keys("have")
+    following = F.coalesce(F.array_min(F.filter(filled, lambda r: r > F.col("reg"))), F.array_min(filled))
+    return want.select(*groups, "reg", F.coalesce(F.get(first, F.lit(0)), F.element_at("have", following)).alias("val"))

@@ -39,6 +39,15 @@ def test_jaccard_of_overlapping_sets(spark):
     assert abs(sm.bottom_jaccard(rg.kmv(df, ["g"], "id", 512), "g", 512).first()["jaccard"] - 1 / 3) < 0.08
 
 
+def test_densified_sources_are_full(spark):
+    df = spark.createDataFrame([(n, k) for n in (1, 2, 4, 300) for k in range(n)], "g int, k int")
+    have = rg.oph(df, ["g"], "k", 7)
+    got = {(r["g"], r["reg"]): r["val"] for r in rg.densified(have, ["g"], 7).collect()}
+    assert set(got) == {(g, r) for g in (1, 2, 4, 300) for r in range(128)}
+    own = {(r["g"], r["reg"]): r["val"] for r in have.collect()}
+    assert all(got[k] == v for k, v in own.items()) and all(v in {w for (h, _), w in own.items() if h == g} for (g, _), v in got.items())
+
+
 def test_bloom_has_no_false_negatives(spark):
     t = mb.bits(spark.range(500), [], "id", 8192, 4)
     seen = {r["id"]: r["maybe"] for r in mb.may_contain(spark.range(1000), "id", t, 8192, 4).collect()}
