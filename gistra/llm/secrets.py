@@ -2,7 +2,7 @@
 
 Each rule has a core, the shortest thing that shows where a match is, a full form and a least length. The search automaton
 (subset construction, minimised, as one transition array) runs over every byte and stops where some core
-ends. The reversed core then gives where it began and the full form how far it goes, so spans are those of
+ends. A private key's form goes on over its body, to the end mark or as far as the body goes. The reversed core then gives where it began and the full form how far it goes, so spans are those of
 a leftmost, longest, non-overlapping search for each kind.
 
 Row-local: one narrow Arrow pass, memory bounded by a slice of a batch plus the largest text.
@@ -30,6 +30,8 @@ class Rule(NamedTuple):
     full: Node
     #: least length from the core's last byte on, that byte included; shorter matches are dropped
     tail: int = 0
+    #: lines: the full form is held against the text with a line end after it, and blanks at its end don't count
+    lines: bool = False
 
 
 _value = cls("a-z", "A-Z", "0-9", "+/_.=-")
@@ -39,6 +41,21 @@ _assign = seq(_name, _quote, _space, cls(":="), _space, _quote)
 _upper, _hex, _word = cls("A-Z", "0-9"), cls("0-9", "a-f"), cls("a-z", "A-Z", "0-9")
 _github, _slack, _dashed = seq(text("gh"), cls("pousr"), text("_")), seq(text("xox"), cls("abprs"), text("-")), cls("a-z", "A-Z", "0-9", "-")
 _pem = seq(text("-----BEGIN "), star(cls("A-Z", " ")), text("PRIVATE KEY-----"))
+_base64, _indent, _any = cls("a-z", "A-Z", "0-9", "+/="), star(cls(" \t")), cls(bytes(b for b in range(256) if b not in b"\r\n"))
+# line ends may be escaped, as in JSON
+_end = alt(text("\r\n"), cls("\r\n"), text("\\r\\n"), text("\\n"))
+_line = seq(_indent, star(_base64), _indent, _end)
+_field = seq(_indent, _word, star(_dashed), text(":"), star(_any), _end)
+# up to the end mark: base64, blanks, line ends and header fields, whose dashes are fewer than the mark's five
+_dashes = seq(*[opt(cls("-"))] * 4)
+_inner = star(seq(_dashes, alt(_base64, cls(" \t\r\n\\:,.;_()@\"'"))))
+_closed = seq(_inner, text("-----END "), star(cls("A-Z", " ")), text("PRIVATE KEY-----"))
+# without one: as far as fields and then lines of base64 go
+_open = seq(_line, star(_field), star(_line))
+_run = seq(_base64, star(_base64), star(_line))
+# lines joined by blanks: only long ones differ from prose
+_long = seq(cls(" \t"), _indent, times(_base64, 32), star(_base64))
+_joined = seq(_long, star(_long), opt(seq(cls(" "), star(_base64), cls("="))), star(_line))
 
 RULES = [
     Rule("assign", seq(_assign, _value), seq(_assign, _value, star(_value)), 8),
@@ -46,7 +63,7 @@ RULES = [
     Rule("hex", times(_hex, 32), seq(times(_hex, 32), star(_hex))),
     Rule("github", seq(_github, _word), seq(_github, _word, star(_word)), 36),
     Rule("slack", seq(_slack, _dashed), seq(_slack, _dashed, star(_dashed)), 10),
-    Rule("pem", _pem, _pem),
+    Rule("pem", _pem, seq(_pem, opt(alt(_closed, _open, _run, _joined))), lines=True),
 ]
 BASE = ("assign", "access", "hex")
 
@@ -72,11 +89,17 @@ class Scanner:
                     start = i + 1 - self.back[k].longest(data, i, -1, -1)
                     if start < past[k]:
                         continue
-                    end = past[k] = start + self.full[k].longest(data, start, len(data))
+                    end = past[k] = self._end(k, data, start)
                     if end - i >= self.rules[k].tail:
                         out.append((start, k, end))
         return sorted(out)
 
+    def _end(self, k: int, data: bytes, start: int) -> int:
+        if not self.rules[k].lines:
+            return start + self.full[k].longest(data, start, len(data))
+        length = self.full[k].longest(data + b"\n", start, len(data) + 1)
+        return start + len(data[start : start + length].rstrip())
+
     def spans(self, data: bytes) -> list[tuple[int, str, int]]:
         """(start, kind, end) in code points of the UTF-8 text."""
         found = self.byte_spans(data)

@@ -124,6 +124,30 @@ def test_secrets_against_brute_force(spark):
     assert secrets.find_secrets(docs(spark, ODD)).filter("spans <> ''").count() == 0
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    r = random.Random(10)
+    line = lambda n=64: "".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [line(), line(), line(20) + "=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    texts = [
+        f"é {head}\n" + "\n".join(lines) + f"\n{end} after.",
+        f"é {head}\r\n" + "\r\n".join(lines) + f"\r\n{end} after.",
+        f"é {head}\n{fields}" + "\n".join(lines) + f"\n{end} after.",
+        f"é {head}\\n" + "\\n".join(lines) + f"\\n{end} after.",
+        f"é {head} " + " ".join(lines) + f" {end} after.",
+        f"é {head}\n    " + "\n    ".join(lines) + "\n after this.",
+        f"é {head}\n{fields}" + "\n".join(lines) + "\n after this.",
+        f"é {head} after this.",
+        f"é {head} " + " ".join(lines) + " after this.",
+        f"é {head}\n" + "\n".join(lines[:2]) + "\n" + line(7),
+        f"é {head}\n{lines[0]}\n{end} after, {head}\n{lines[1]}\n{end} after.",
+    ]
+    kept = {x["doc_id"]: x["text"] for x in secrets.redact(docs(spark, list(enumerate(texts)))).collect()}
+    marks = ["é [secret] after."] * 5 + ["é [secret]\n after this."] * 2 + ["é [secret] after this."] * 2 + ["é [secret]", "é [secret] after, [secret] after."]
+    assert [kept[i] for i in range(len(texts))] == marks
+
+
 def shingles(t, w):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)) if len(ws) >= w else frozenset([tuple(ws)] if ws else [])
