@@ -240,6 +240,7 @@ query("weighted_hist_intersection", f"WITH {LW}, t AS (SELECT g, sum(w) AS t FRO
 query("icws_samples")(lambda s, d: sm.icws(quantities(s, d), "g", "k", "w", 32))
 query("prob_minhash", f"WITH {LW} SELECT g, x::INTEGER AS slot, arg_min(k, -ln({UNIT(HS('k', 'x'))}) / w) AS key FROM c CROSS JOIN range(0, 32) t(x) WHERE w > 0 GROUP BY ALL")(lambda s, d: sm.prob_min(quantities(s, d), "g", "k", "w", 32))
 query("order_minhash")(lambda s, d: sm.order_min(table(s, d, "benchmark").select("item_id", hx.tokens(F.col("text")).alias("t")), "item_id", "t", 8, 3))
+query("order_minhash_documents")(lambda s, d: sm.order_min(table(s, d, "documents").select("doc_id", hx.tokens(F.col("text")).alias("t")), "doc_id", "t", 8, 3))
 
 EM = "e AS (SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS idx, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 
@@ -259,6 +260,7 @@ query("dd_quantile", "WITH b AS (SELECT l_returnflag, ceil(ln(l_extendedprice) /
 )
 query("online_stats", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem GROUP BY l_returnflag")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.var_samp("l_quantity"), 6).alias("variance"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson")))
 query("kmers", f"WITH k AS (SELECT item_id, unnest(list_transform(range(1, length(text) - 19), lambda i: substr(text, i, 21))) AS kmer FROM benchmark) SELECT item_id, count(DISTINCT {H('kmer')}) AS kinds FROM k GROUP BY item_id")(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(hx.kmers(F.col("text"), 21)).alias("kmer")).groupBy("item_id").agg(F.countDistinct(hx.h60("kmer")).alias("kinds")))
+query("kmers_documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.explode(hx.kmers(F.col("text"), 21)).alias("kmer")).groupBy("doc_id").agg(F.countDistinct(hx.h60("kmer")).alias("kinds")))
 query("fast_div_mod", "SELECT o_orderkey, o_orderkey // 97 AS quotient, o_orderkey % 97 AS rest FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr("o_orderkey div 97").alias("quotient"), (F.col("o_orderkey") % 97).alias("rest")))
 query("delta_encode", "SELECT c_custkey, c_custkey - coalesce(lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 0) AS delta FROM customer")(
     lambda s, d: table(s, d, "customer").selectExpr("c_custkey", "c_custkey - coalesce(lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 0) AS delta")

@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +92,27 @@ def test_vectors(spark):
     assert abs(q - 500) <= 10
 
 
+def test_kmers_and_order_minima_of_documents(spark, tmp_path):
+    from gistra.plans import catalogue
+
+    texts = {1: "a b a c d b a", 2: "The quick brown fox jumps over the lazy dog and the other fox", 3: "x" * 30, 4: "short", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    h = lambda x, seed=0: int(hashlib.md5(f"{seed}:{x}".encode()).hexdigest()[:15], 16)
+    kinds = {i: len({t[k : k + 21] for k in range(len(t) - 20)}) for i, t in texts.items() if t and len(t) > 20}
+    assert {r["doc_id"]: r["kinds"] for r in catalogue.QUERIES["kmers_documents"](spark, str(tmp_path)).collect()} == kinds
+    want = {}
+    for i, t in texts.items():
+        seen, each = Counter(), []
+        for pos, w in enumerate((t or "").lower().split()):
+            seen[w] += 1
+            each.append((w, seen[w], pos))
+        for slot in range(8 if each else 0):
+            least = sorted(each, key=lambda e: (h(f"{e[0]}#{e[1]}", slot), e[2]))[:3]
+            want[i, slot] = h(" ".join(w for w, _, _ in sorted(least, key=lambda e: e[2])))
+    got = {(r["doc_id"], r["slot"]): r["val"] for r in catalogue.QUERIES["order_minhash_documents"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as e
 
