@@ -36,14 +36,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``fresh_path`` gave."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``cut`` returned. Whatever was derived from them must have been written."""
     for table in tables:
         path = _paths.pop(table, None)
         if path:
-            context = table.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(table.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
