@@ -1,22 +1,24 @@
 """WARC archives of pages: segmented records written by Spark, read back, reassembled and decoded.
 
-Writing: of pages with equal payloads the one with the largest id becomes a ``response`` record, the others
-``revisit`` records that refer to it. A response block is an HTTP message in chunked transfer framing;
-blocks beyond ``SEGMENT`` bytes, or with the bytes that separate records inside, go out as a first segment
-and ``continuation`` records. Spark's text sink writes the archives (gzip), so they go to any file system.
-
-Reading: Spark's text source splits archives at the record separator, which segmentation keeps out of
-blocks; every record's Content-Length is checked. Continuations are grouped by origin identifier, ordered
-by segment number, and their total length verified; then the chunked framing is decoded and the payload's
-digest compared with the header's.
-
-Scale: only digests are grouped (partial aggregation) and joined, both sides splittable when one payload
-holds a third of all rows; only segmented records are shuffled at reassembly, a record at a time. Archive
-files are bounded by a record count.
-
-Defined cases: null html is an empty payload; repeated rows (same id and payload) are one page; a null url
-has no target header; null ids are kept, and are responses only if no equal payload has an id; extra
-columns are dropped. Broken records raise.
+Writing: every page becomes a record. Of pages with equal payloads the one with the largest id becomes a
+``response``, the others ``revisit`` records that refer to it. A response block is an HTTP message in chunked
+transfer framing; blocks beyond ``SEGMENT`` bytes, or with a record's first line inside, go out as a first
+segment and ``continuation`` records. Spark's text sink writes the archives (gzip), so they go to any file system.
+
+Reading: Spark's text source splits archives at the first line of records, which segmentation keeps out of
+blocks. That separator can't overlap itself, so a reader that meets half of it at a buffer's edge finds it
+too; what stands before it is cut to its Content-Length, and anything but line ends beyond that raises.
+Continuations are grouped by origin identifier, ordered by segment number, and their total length verified;
+then the chunked framing is decoded and the payload's digest compared with the header's.
+
+Scale: only digests are grouped (partial aggregation). Pages move once, by id and digest, so that a payload
+that a third of all pages have is spread by their ids; only segmented records are shuffled at reassembly, a
+record at a time. Archive files are bounded by a record count.
+
+Defined cases: null html is an empty payload; repeated rows (same id and payload) are a record each, told
+apart by a number in the record id, and all responses if their id is the largest; a null url has no target
+header; null ids are kept, and are responses only if no equal payload has an id; extra columns are dropped; an
+empty table gives an empty result. Broken records raise.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ import base64
 import hashlib
 import re
 import uuid
+from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistra.llm.text import column, slices
-from gistra.staging import cut, fresh_path
+from gistra.staging import cut, discard, fresh_path, remove
 
-SEPARATOR = b"\r\n\r\nWARC/1.1\r\n"
+VERSION = b"WARC/1.1"
+SEPARATOR = VERSION + b"\r\n"
 SEGMENT, CHUNK, FILE_RECORDS = 32 << 10, 4 << 10, 4000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -43,8 +47,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{payload_digest}')}>"
+def record_id(page_id: int | None, payload_digest: str, turn: int = 1) -> str:
+    """The id of a page's record; ``turn`` counts rows of one id and payload."""
+    name = f"{page_id}/{payload_digest}" if turn == 1 else f"{page_id}/{payload_digest}/{turn}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
 
 
 def chunked(payload: bytes) -> bytes:
@@ -67,13 +73,15 @@ def unchunked(body: bytes) -> bytes:
 
 
 def segments(block: bytes) -> list[bytes]:
-    """Cut a block so that no piece, with what precedes it in an archive, holds the record separator."""
-    marks = {m.start() + 7 for m in re.finditer(rb"(?=\r\n\r\nWARC/1\.1\r\n)", block)}
+    """Cut a block so that no piece, with the line end that follows it in an archive, holds the record separator."""
+    marks = [m.start() + 4 for m in re.finditer(rb"WARC/1\.1(?=\r\n|\r?\Z)", block)]
     cuts, at = [], 0
     while at < len(block):
-        stop = min([at + SEGMENT, *(m for m in marks if m > at), len(block)])
-        while stop < len(block) and block[stop:].startswith(SEPARATOR[2:]) | block[stop:].startswith(SEPARATOR[4:]):
-            stop -= 1
+        k = bisect_right(marks, at)
+        stop = min(at + SEGMENT, len(block), *marks[k : k + 1])
+        for tail in (VERSION, VERSION + b"\r"):
+            if block[at:stop].endswith(tail):
+                stop -= len(tail) - 4
         cuts.append(block[at:stop])
         at = stop
     return cuts or [b""]
@@ -82,14 +90,15 @@ def segments(block: bytes) -> list[bytes]:
 def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     """A record without its last line end, which the sink adds."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))] if v is not None)
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n"
+    return SEPARATOR + head.encode() + b"\r\n" + block + b"\r\n"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, response: bool) -> list[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, response: bool, turn: int = 1) -> list[bytes]:
     code = digest(payload)
-    target = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
+    # a header's value must not end a line as a record's first line does
+    target = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}", url).replace("WARC/", "WARC%2F") if url is not None else None
     shared = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{code}"), ("Content-Type", "application/http; msgtype=response")]
-    own = record_id(page_id, code)
+    own = record_id(page_id, code, turn)
     if not response:
         return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Refers-To", record_id(refers_to, code)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *shared], b"")]
     block = HTTP + chunked(payload)
@@ -104,8 +113,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and block of one record, as the separator cut it out."""
-    raw = raw.removeprefix(SEPARATOR[4:])
+    """Header fields (lower-case names) and block of what stands between two separators."""
     head, found, rest = raw.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n"))}
     n = int(fields["content-length"])
@@ -123,24 +131,23 @@ def decode(block: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a record for each page to gzip archives under ``path``."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("body"))
-    keyed = rows.select("id", F.sha1("body").alias("sha"), F.length("body").alias("n"))
-    last = keyed.groupBy("sha", "n").agg(F.max("id").alias("last"))
-    roles = keyed.distinct().join(last, ["sha", "n"]).select(F.col("id").alias("i"), F.col("sha").alias("s"), "last")
-    # the pages themselves move once; urls of repeated rows don't matter, so one row for each id and payload is left
-    whole = rows.withColumn("s", F.sha1("body")).join(roles.withColumnRenamed("s", "s2"), F.col("id").eqNullSafe(F.col("i")) & (F.col("s") == F.col("s2")))
+    own = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.col("sha"))
+    keyed = rows.select("id", F.sha1("body").alias("sha"))
+    last = keyed.groupBy("sha").agg(F.max("id").alias("last"))
+    roles = keyed.distinct().join(last, "sha").select(own.alias("own"), "last")
+    # the pages themselves move once: rows of one id and payload are numbered and joined where they then are
+    moved = rows.withColumn("sha", F.sha1("body")).select("id", "url", "body", own.alias("own")).repartition("own")
+    whole = moved.withColumn("turn", F.row_number().over(Window.partitionBy("own").orderBy("url"))).join(roles, "own")
 
     def build(batches):
-        seen: set[tuple[int | None, str]] = set()
         for batch in batches:
             for part in slices(batch, "body"):
                 out = []
-                for i, url, body, s, top in zip(*(column(part, c).to_pylist() for c in ("id", "url", "body", "s", "last"))):
-                    if (i, s) not in seen:  # equal rows are in one task: joined by id and payload
-                        seen.add((i, s))
-                        out += page_records(i, url, body, top, i == top)
+                for i, url, body, turn, top in zip(*(column(part, c).to_pylist() for c in ("id", "url", "body", "turn", "last"))):
+                    out += page_records(i, url, body, top, i == top and (i is not None or turn == 1), turn)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = whole.select("id", "url", "body", "s", "last").mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = whole.select("id", "url", "body", "turn", "last").mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -149,7 +156,7 @@ RECORD = "rid string, type string, id long, refers string, code string, segment
 
 def read_archives(spark, path: str) -> DataFrame:
     """Records of the archives under ``path``, whole: rid, type, id, refers, code (from the header), n, found (of the payload)."""
-    raw = spark.read.option("lineSep", SEPARATOR.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
+    raw = spark.read.option("lineSep", SEPARATOR.decode()).text(path).filter("value <> ''").select(F.col("value").cast("binary").alias("raw"))
 
     def rows(batches):
         for batch in batches:
@@ -184,7 +191,9 @@ def read_archives(spark, path: str) -> DataFrame:
                 out = row["first"] | {"n": len(payload), "found": digest(payload)}
                 yield pa.RecordBatch.from_pylist([out], schema=pa.schema([types.field(c) for c in ("rid", "type", "id", "refers", "code", "n", "found")]))
 
-    return whole.unionByName(pieces.mapInArrow(join, "rid string, type string, id long, refers string, code string, n long, found string"))
+    records = cut(whole.unionByName(pieces.mapInArrow(join, "rid string, type string, id long, refers string, code string, n long, found string")), "read")
+    discard(parsed)
+    return records
 
 
 def resolved(records: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -201,7 +210,9 @@ def resolved(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return resolved(cut(read_archives(spark, path), "read"))
+    records = read_archives(spark, path)
+    remove(spark, path)
+    return resolved(records)
 
 
 ORACLE_SQL = r"""

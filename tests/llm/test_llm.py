@@ -98,14 +98,40 @@ def test_media_roundtrip(spark):
 
 
 def test_warc_roundtrip(spark, tmp_path):
-    evil = "a\r\n\r\nWARC/1.1\r\nb" * 3
+    evil = "a\r\n\r\nWARC/1.1\r\nb" * 3 + "WARC/1.1"
     big = "x" * 100_000 + evil
-    rows = [(1, "http://a/", evil), (2, "http://b/ c\r\n", big), (3, None, None), (4, "u", ""), (5, "u", big), (5, "u", big), (None, "u", "only")]
+    rows = [(1, "http://a/", evil), (2, "http://b/ c\r\n", big), (3, None, None), (4, "u", ""), (5, "u", big), (5, "v/WARC/1.1", big), (None, "u", "only"), (None, "u", "only")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     warc.write_archives(df, f"{tmp_path}/a")
     got = sorted(tuple(r) for r in warc.resolved(warc.read_archives(spark, f"{tmp_path}/a")).filter("page_id IS NOT NULL").collect())
     d = lambda s: warc.digest((s or "").encode())
-    assert got == [(1, len(evil), d(evil), "response", None), (2, len(big), d(big), "revisit", 5), (3, 0, d(""), "revisit", 4), (4, 0, d(""), "response", None), (5, len(big), d(big), "response", None)]
+    assert got == [(1, len(evil), d(evil), "response", None), (2, len(big), d(big), "revisit", 5), (3, 0, d(""), "revisit", 4), (4, 0, d(""), "response", None), (5, len(big), d(big), "response", None), (5, len(big), d(big), "response", None)]
+    assert warc.resolved(warc.read_archives(spark, f"{tmp_path}/a")).filter("page_id IS NULL").count() == 2
+    warc.write_archives(df.filter("false"), f"{tmp_path}/none")
+    assert warc.resolved(warc.read_archives(spark, f"{tmp_path}/none")).count() == 0
+
+
+def test_warc_separators_at_buffer_edges(spark, tmp_path):
+    page = lambda i, n: warc.page_records(i, f"http://{i}/", b"abc" * n, i, True)[0] + b"\r\n"
+    filler = lambda n: warc.record([("WARC-Type", "metadata"), ("Pad", "x" * n)], b"") + b"\r\n"
+    (tmp_path / "a").mkdir()
+    for gap in range(40):
+        # the page's end and the next record's first line lie across the reader's buffer edge, at every offset
+        body = page(gap, 700)
+        pad = filler(65536 + 20 - gap - len(body) - len(filler(0)))
+        assert len(pad + body) == 65536 + 20 - gap
+        (tmp_path / "a" / f"{gap}.warc").write_bytes(pad + body + page(100 + gap, 30) * 3)
+    got = warc.read_archives(spark, f"{tmp_path}/a").filter("type = 'response'").collect()
+    assert sorted((x["id"], x["n"]) for x in got) == sorted([(g, 2100) for g in range(40)] + [(100 + g, 90) for g in range(40)] * 3)
+
+
+def test_warc_segments_hold_no_separator():
+    r = random.Random(2)
+    for _ in range(500):
+        block = b"".join(r.choice([b"WARC/1.1", b"\r\n", b"\r", b"\n", b"x", b"WARC/1.1\r\n", b"W"]) for _ in range(r.randint(0, 40)))
+        pieces = warc.segments(block)
+        assert b"".join(pieces) == block
+        assert all(warc.SEPARATOR not in p + b"\r\n\r\n" for p in pieces)
 
 
 BASE = [("assign", re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
