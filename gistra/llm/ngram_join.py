@@ -4,54 +4,48 @@ A document is the set of its distinct word shingles. Hashing shingles into group
 counts, and for two documents the summed coordinate minima bound the overlap from above. Points are searched
 with a tree in two tiers.
 
-Tier 1 deals points to cells. Of two linked sets in one order of hashes, the smallest common shingle is in the
-prefix of each: one shingle more than a linked set can lack. A cell is a shingle of prefixes, n / 5 of them for
-n shingles at a similarity of 0.8. A passage that many documents share would make large cells, so shingles in
-more than ``COMMON`` prefixes are common, and their holders meet elsewhere: in the cells of group contents. Linked
-sets differ in few shingles for their size, so when shingles are hashed into one group more than that many, some
-group is the same in both. The number of groups follows from the size of the larger partner, and a document also
-takes the scheme of the size class above when its partners can reach there. There are more groups than that, so
-several stay equal, and groups of very few shingles, which unrelated documents share, are passed over wherever
-a document has fewer of them than groups that stay equal. At similarities from 0.9 the contents of groups are
-few and take all documents, without prefixes. No link is lost.
-
-Tier 2 is an R-tree within a cell: leaves of near points with their coordinate maxima. Leaves and then points
-whose summed minima are below the overlap needed are dropped; survivors are verified on whole sets.
-
-Cells of at most ``COMMON`` points are a few leaves: their pairs of like sizes are made first and points joined to
-the distinct ones. Before verification, pairs pass a bound by points of n / 4 coordinates.
+Tier 1 deals points to cells, and drops those that can have no partner. A document's head is the smallest of its
+shingles in one order of hashes: as many as a linked set can lack, and ``extra`` more. Two linked sets then share
+at least ``extra`` shingles of their heads. A shingle that one set alone has can't be among them, so a set
+with fewer shared shingles in its head has no link: nearly all documents that only quote a common passage
+go here. What is left puts its shared shingles in order of rarity and is dealt to the rarest of them, again all but
+``extra`` less one: two linked sets still meet, and meet where few others do. Cells with the same members are one.
+
+Tier 2 is an R-tree within a cell: nodes of near points with their coordinate maxima. Nodes and then points whose
+summed minima are below the overlap needed are dropped; survivors are bounded once more by finer points, of about
+n / 4 coordinates, and verified on whole sets. No link is lost, and one way serves all thresholds and cell sizes.
 
 Links are wanted as components, so not all pairs of a cell of copies are looked at. Equal sets are one class
 from the start. In each of ``ROUNDS`` rounds every class meets one pivot of the cells that hold more than
 one component, and verified links join components; what is then still in cells with several components goes
 through the R-tree, all pairs of different components, in blocks of bounded size.
 
-Scale: shuffles carry 8-byte hashes, n / 10 to n / 5 for a document of n shingles; texts move only of holders of
-common shingles and of classes in a pair that the bounds leave. Cells are aggregated before their members are joined, the join is splittable when skewed,
-and R-tree blocks are bounded. Labels move by joins, never to the driver.
+Scale: shuffles carry 8-byte hashes, n / 5 to 3 n / 10 for a document of n shingles; sets are made and moved only
+of classes that tier 1 leaves. Cells are aggregated before their members are joined, the join is
+splittable when skewed, and R-tree blocks are bounded. Labels move by joins, never to the driver.
 
 Defined cases: null and wordless texts have an empty set and no links; texts shorter than a shingle are one
-shingle; rows with equal ids are documents of equal id (the smallest id of a component is its name); extra
-columns are dropped by ``components`` and kept by ``keep_one``. A class is known by a 64-bit hash of its
-set: for N different sets the chance that any two are taken as equal is about N^2 / 2^65.
+shingle; rows with equal ids are documents of equal id (the smallest id of a component is its name); null ids are
+kept; an empty table gives an empty result; extra columns are dropped by ``components`` and kept by ``keep_one``.
+A class is known by a 64-bit hash of its set: for N different sets the chance that any two are taken as equal is about
+N^2 / 2^65, and the same holds for cells that are taken to have equal members.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistra.llm.text import column, ensure_unique, slices, utf8
-from gistra.staging import cut, discard, release
+from gistra.staging import cut, discard
 
-GROUPS, FOLD, LEAF, BLOCK, ROUNDS, COMMON = 128, 4, 16, 512, 3, 64
+GROUPS, FOLD, LEAF, BLOCK, ROUNDS, PASSES = 128, 4, 16, 1024, 3, 2
 PAIRS_AT_ONCE, FILTER_BITS = 100_000, 27
 U = np.uint64
 
@@ -72,26 +66,16 @@ class Terms(NamedTuple):
     def largest(self, n: int) -> int:
         return 100 * n // self.percent
 
-    def apart(self, n: int) -> int:
-        """Most shingles by which linked sets of at most ``n`` shingles differ in all; an odd total may allow more than an even one."""
-        return max(t - 2 * int(self.needed(t)) for t in (2 * n, 2 * n - 1))
-
-    @property
-    def prefixes(self) -> bool:
-        """Whether prefixes go first: at 0.9 the contents of groups are few, about n / 6 cells, and take all."""
-        return self.percent < 90
+    def extra(self, n: int) -> int:
+        """How many shared shingles the heads of linked sets of ``n`` or more shingles have at least."""
+        return max(1, n // 10)
 
-    def groups(self, apart: int) -> tuple[int, int]:
-        """How many groups to use where sets differ by ``apart``, and up to which size groups are passed over."""
-        return (-(-23 * (apart + 1) // 20), 4) if self.percent >= 90 else (-(-27 * (apart + 1) // 20), 1)
+    def head(self, n: int) -> int:
+        return min(n, n - self.smallest(n) + self.extra(n))
 
-
-@lru_cache(64)
-def size_classes(terms: Terms) -> list[int]:
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.4)))
-    return out
+    def shared(self, n: Column) -> Column:
+        """``extra`` of the smallest set that a set of ``n`` shingles can link with."""
+        return F.greatest(F.lit(1), F.floor(F.ceil(self.percent * n / 100) / 10)).cast("int")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,39 +107,17 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def cells(u: np.ndarray, terms: Terms) -> np.ndarray:
-    """The tier-1 cells of a set, as hashes."""
-    n, ladder = len(u), size_classes(terms)
-    if not n:
-        return np.zeros(0, np.int64)
-    level = next(i for i, s in enumerate(ladder) if s >= n)
-    content = np.concatenate([np.zeros(1, U), np.cumsum(mixed(u + U(0x9E3779B97F4A7C15)))])
-    out = []
-    while True:
-        apart = terms.apart(ladder[level])
-        if apart:  # else only equal sets, which are one class anyway
-            groups, tiny = terms.groups(apart)
-            # groups are ranges of the hash, so a sorted set has them in order
-            at = ((u >> U(40)) * U(groups)) >> U(24)
-            edges = np.searchsorted(at, np.arange(groups + 1, dtype=U))
-            own = mixed(mixed(content[edges[1:]] - content[edges[:-1]]) + (U(level) << U(40)) + np.arange(groups, dtype=U))
-            large = np.diff(edges) > tiny
-            # more groups stay equal than are tiny here: one of those not tiny does, and they are enough
-            out.append(own[large] if groups - apart > groups - large.sum() else own)
-        if terms.largest(n) <= ladder[level]:
-            break
-        level += 1
-    # 48 bits do: cells that meet by chance only cost a look, and cleared bytes compress in shuffles
-    return (np.concatenate(out) & U(0xFFFFFFFFFFFF0000)).view(np.int64) if out else np.zeros(0, np.int64)
+def head(u: np.ndarray, terms: Terms) -> np.ndarray:
+    """The smallest shingles of a sorted set, as cells."""
+    return u[: terms.head(len(u))].view(np.int64)
 
 
-def prefix(u: np.ndarray, terms: Terms) -> np.ndarray:
-    """The smallest shingles of a sorted set, one more than a linked set can lack, as cells."""
-    return (u[: len(u) - terms.smallest(len(u)) + 1] & U(0xFFFFFFFFFFFF0000)).view(np.int64) if len(u) else np.zeros(0, np.int64)
+def class_key(u: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0])
 
 
 def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, class key, group counts and prefix of each document (prefix, or cells of group contents, once for a class in each task)."""
+    """id, n, class key and head (once for a class in each task, else null) of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -163,17 +125,16 @@ def points(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFra
         for batch in batches:
             for part in slices(batch, text_col):
                 sets = shingle_sets(utf8(part, text_col), terms.words)
-                keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in sets]
-                own = []
+                keys = [class_key(u) for u in sets]
+                heads = []
                 for u, k in zip(sets, keys):
-                    own.append(None if k in seen else (prefix if terms.prefixes else cells)(u, terms))
+                    heads.append(None if k in seen else head(u, terms))
                     seen.add(k)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                counts = [packed(np.bincount((u & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)) for u in sets]
-                yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["id", "n", "key", "counts", "cells"])
+                yield pa.RecordBatch.from_arrays([column(part, id_col), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "key", "cells"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, counts binary, cells array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, key long, cells array<bigint>")
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -199,22 +160,12 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, bound long")
 
 
-def fine_points(sets: DataFrame) -> DataFrame:
-    """(key, n, fine): points of about n / 4 coordinates, a power of two; the first byte is a coordinate's width."""
-
-    def run(batches):
-        for batch in batches:
-            sizes, points = [], []
-            for x in column(batch, "shingles"):
-                u = np.frombuffer(x.as_buffer(), U)
-                groups = 1 << max(7, (len(u) // 4).bit_length())
-                counts = np.bincount((u & U(groups - 1)).astype(np.int64), minlength=groups)
-                width = 1 if counts.max() < 256 else 4
-                sizes.append(len(u))
-                points.append(bytes([width]) + counts.astype(f"<u{width}").tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["key", "n", "fine"])
-
-    return sets.mapInArrow(run, "key long, n long, fine binary")
+def fine_point(u: np.ndarray) -> bytes:
+    """A point of about n / 4 coordinates, a power of two; the first byte is a coordinate's width."""
+    groups = 1 << max(7, (len(u) // 4).bit_length())
+    counts = np.bincount((u & U(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
@@ -232,18 +183,13 @@ def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
-    points = cut(fine_points(sets), "fine")
-    side = lambda s: points.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"f_{s}"))
-    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct(), "likely")
-    discard(points)
-    return likely
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"f_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets are linked; ``sets_of`` gives the sets of a table of keys."""
-    pairs = cut(pairs.select("a", "b"), "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    likely = finely_bounded(pairs, sets, terms)
+def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets are linked, as a staged table."""
+    likely = cut(finely_bounded(pairs, sets, terms), "likely")
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -257,12 +203,12 @@ def verified(pairs: DataFrame, sets_of, terms: Terms) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
     links = cut(likely.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "verified")
-    discard(pairs, likely, sets)
+    discard(likely)
     return links
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, by neighbours' minima and pointer jumping."""
+    """(node, label), staged: the smallest node of each component, by neighbours' minima and pointer jumping."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
@@ -270,8 +216,10 @@ def connected(edges: DataFrame) -> DataFrame:
         low = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")), "low")
         jump = low.join(low.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low").select("node", F.least("low", "lower").alias("label"), F.col("label").alias("was"))
         jump = cut(jump, "labels")
-        labels = jump.select("node", "label")
+        discard(labels, low)
+        labels = jump
         if not jump.filter("label <> was").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -356,63 +304,35 @@ def _block_pairs(terms: Terms):
     return run
 
 
-def _small_cell_pairs(terms: Terms):
-    """For rows sorted by (cell, n): pairs of different components of like sizes in a cell. A cell has at most
-    ``COMMON`` rows, so as many rows are held over from one batch to the next."""
-    fields = ["cell", "key", "comp", "n"]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            old = len(held[0])
-            cell, key, comp, n = held = [np.concatenate([h, column(batch, c).to_numpy().astype(np.int64)]) for h, c in zip(held, fields)]
-            here, out = np.arange(len(cell)), []
-            for lag in range(1, COMMON):
-                here = here[here + lag < len(cell)]
-                # sizes rise within a cell: who has no partner at this lag has none beyond
-                here = here[(cell[here] == cell[here + lag]) & (100 * n[here] >= terms.percent * n[here + lag])]
-                if not len(here):
-                    break
-                x = here[here + lag >= old]
-                x = x[comp[x] != comp[x + lag]]
-                out.append(np.stack([np.minimum(key[x], key[x + lag]), np.maximum(key[x], key[x + lag])], 1))
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-            held = [h[-COMMON:] for h in held]
-
-    return run
-
-
 def in_shared_cells(rows: DataFrame) -> DataFrame:
-    """Of rows (cell, key) those of cells that hold more than one class, with the number of rows there (size); a staged table."""
-    shared = rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
-    shared = cut(shared, "shared")
-    release(rows.sparkSession)
-    members = cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "size").distinct(), "members")
+    """Of rows (cell, key, n) those of cells that hold more than one class, with the number of rows there (size); a staged table."""
+    shared = cut(rows.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size"), "shared")
+    members = cut(probably_in(rows, "cell", shared.select(F.col("cell").alias("id"))).join(shared, "cell").select("cell", "key", "n", "size").distinct(), "members")
     discard(shared)
-    release(rows.sparkSession)
     return members
 
 
-def members_of_shared_cells(profile: DataFrame, contents_of, terms: Terms) -> DataFrame:
-    """Staged table with (cell, key) of the cells that hold more than one class; ``contents_of`` gives a staged table
-    (key, cells) of a table of keys.
-
-    Linked sets share a shingle of their prefixes. If it is common, both are among the holders of common
-    shingles, and those meet in the cells of their groups' contents.
-    """
-    first = in_shared_cells(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key"))
-    if not terms.prefixes:
-        return first
-    holders = cut(first.filter(F.col("size") > COMMON).select("key").distinct(), "holders")
-    contents = contents_of(holders)
-    release(profile.sparkSession)
-    again = in_shared_cells(contents.select(F.explode("cells").alias("cell"), "key"))
-    members = cut(first.filter(F.col("size") <= COMMON).select("cell", "key").unionByName(again.select("cell", "key")), "members")
-    discard(first, holders, contents, again)
-    return members
+def meeting(rows: DataFrame, terms: Terms) -> DataFrame:
+    """Staged table with (cell, key, n): where classes that may have a partner meet; ``rows`` has their heads."""
+    members = in_shared_cells(rows)
+    for turn in range(PASSES):
+        # who shares too little of its head has no partner, and its cells may then have one class left
+        live = members.groupBy("key").agg(F.max("n").alias("n_"), F.count("*").alias("live")).filter(F.col("live") >= terms.shared(F.col("n_")))
+        live = cut(live.select("key", "live"), "live")
+        kept = cut(members.drop("live", "size").join(live, "key"), "kept")
+        discard(members, live)
+        sizes = cut(kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        members = cut(kept.join(sizes, "cell"), "members")
+        discard(kept, sizes)
+    rarest = Window.partitionBy("key").orderBy("size", "cell")
+    rare = members.withColumn("turn", F.row_number().over(rarest)).withColumn("live", F.count("*").over(Window.partitionBy("key")))
+    chosen = cut(rare.filter(F.col("turn") <= F.col("live") - terms.shared(F.col("n")) + 1).select("cell", "key", "n"), "rarest")
+    discard(members)
+    same = chosen.groupBy("cell").agg(F.bit_xor(F.xxhash64("key")).alias("sig"), F.count("*").alias("size")).filter("size > 1").groupBy("sig", "size").agg(F.min("cell").alias("cell"))
+    same = cut(same.select("cell"), "same")
+    merged = cut(chosen.join(same, "cell"), "met")
+    discard(chosen, same)
+    return merged
 
 
 def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -431,82 +351,72 @@ def probably_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return found.filter(F.expr("shiftleft(1, cast(place_ & 7 as int))").bitwiseAND(byte) != 0).select(*rows.columns)
 
 
-def from_texts(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, text_col: str, make, name: str, kind: str) -> DataFrame:
-    """(key, ``name``) of the classes (key, rep): ``make`` of their sets, from the texts of their representatives."""
-    schema = f"key long, {name} {kind}"
+def sets_of(docs: DataFrame, classes: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
+    """Staged table with (key, n, counts, fine, shingles) of the classes (key, rep), from their representatives' texts."""
+    schema = "key long, n long, counts binary, fine binary, shingles binary"
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
-                sets = shingle_sets(utf8(part, "t"), terms.words)
                 # a rep's id may be that of several rows: only the one with the class's set counts
-                keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in sets]
-                ok = [k == w for k, w in zip(keys, column(part, "key").to_pylist())]
-                made = pa.array([make(u) for u, good in zip(sets, ok) if good], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([column(part, "key").filter(pa.array(ok, pa.bool_())), made], ["key", name])
+                good = [(k, u) for k, u in zip(column(part, "key").to_pylist(), shingle_sets(utf8(part, "t"), terms.words)) if class_key(u) == k]
+                counts = [packed(np.bincount((u & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)) for _, u in good]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in good], pa.int64()), pa.array([len(u) for _, u in good], pa.int64()), pa.array(counts, pa.binary()), pa.array([fine_point(u) for _, u in good], pa.binary()), pa.array([u.tobytes() for _, u in good], pa.binary())], ["key", "n", "counts", "fine", "shingles"])
 
     texts = probably_in(docs.select(F.col(id_col).alias("rep_id"), F.col(text_col).alias("t")), "rep_id", classes.select(F.col("rep").alias("id")))
+    # repeated rows of a rep are one text
     chosen = texts.join(classes.select("key", F.col("rep").alias("rep_id")), "rep_id").select("key", "t")
-    return cut(chosen.mapInArrow(run, schema), name)  # a class may come twice where ids repeat
+    once = cut(chosen.mapInArrow(run, schema), "made")
+    repeated = cut(once.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "repeated")
+    if not repeated.limit(1).count():
+        return once
+    several = once.join(repeated, "key", "left_semi").groupBy("key").agg(*(F.min(c).alias(c) for c in once.columns[1:]))
+    out = cut(once.join(repeated, "key", "left_anti").unionByName(several), "sets")
+    discard(once, repeated)
+    return out
 
 
 def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataFrame:
-    """(key, comp) of the classes that share a cell with another one; the rest are on their own."""
+    """(key, comp), staged, of the classes that share a cell with another one; the rest are on their own."""
     spark = docs.sparkSession
-
-    def contents_of(keys):
-        reps = probably_in(profile.select("id", "key"), "key", keys.select(F.col("key").alias("id"))).join(keys, "key").groupBy("key").agg(F.min("id").alias("rep"))
-        reps = cut(reps, "reps")
-        contents = from_texts(docs, reps, terms, id_col, text_col, lambda u: cells(u, terms), "cells", "array<bigint>")
-        discard(reps)
-        return contents
-
-    members = members_of_shared_cells(profile, contents_of, terms)
-    release(spark)
+    members = meeting(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key", F.col("n").cast("int").alias("n")), terms)
     inside = cut(members.select("key").distinct(), "inside")
-    known = probably_in(profile.select("id", "n", "key", "counts"), "key", inside.select(F.col("key").alias("id")))
-    classes = cut(known.join(inside, "key").groupBy("key").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("id").alias("rep")), "classes")
-    discard(inside)
-    release(spark)
-
-    def sets(keys):
-        """Texts are read again for the classes that have come so far, which are few, and no others move."""
-        wanted = cut(classes.select("key", "rep").join(keys, "key"), "wanted")
-        found = from_texts(docs, wanted, terms, id_col, text_col, lambda u: u.tobytes(), "shingles", "binary")
-        discard(wanted)
-        return found
-
-    staged = cut(members.select("cell", "key").join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), "sized")
-    discard(members)
-    release(spark)
-    members = staged
-    labels = classes.select("key", F.col("key").alias("comp"))
-    point = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
+    named = probably_in(profile.select("id", "key"), "key", inside.select(F.col("key").alias("id")))
+    reps = cut(named.join(inside, "key").groupBy("key").agg(F.min("id").alias("rep")), "reps")
+    sets = sets_of(docs, reps, terms, id_col, text_col)
+    labels = cut(reps.select("key", F.col("key").alias("comp")), "comps")
+    discard(inside, reps)
+    point = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"c_{s}"))
 
     def joined(labels, links):
         """Labels after the links (a, b) of classes; None if there are none."""
         own = lambda s: labels.select(F.col("key").alias(s), F.col("comp").alias(f"comp_{s}"))
         edges = cut(links.join(own("a"), "a").join(own("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "links")
+        discard(links)
         if not edges.limit(1).count():
+            discard(edges)
             return None
-        moved = connected(edges).withColumnRenamed("node", "comp")
-        return cut(labels.join(moved, "comp", "left").select("key", F.coalesce("label", "comp").alias("comp")), "comps")
+        moved = connected(edges)
+        out = cut(labels.join(moved.select(F.col("node").alias("comp"), "label"), "comp", "left").select("key", F.coalesce("label", "comp").alias("comp")), "comps")
+        discard(edges, moved, labels)
+        return out
 
     kinds = labels.count()
     for turn in range(ROUNDS):
-        placed = members.join(labels, "key")
+        placed = members.select("cell", "key", "n").join(labels, "key")
         pivots = placed.groupBy("cell").agg(F.min_by(F.struct("key", "comp", "n"), F.xxhash64(F.lit(turn), "key")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell", "pivot")
         # cells of one component are done with
+        pivots = cut(pivots, "pivots")
         open_cells = cut(placed.join(pivots, "cell"), "open")
-        discard(staged)
-        release(spark)
-        staged, members = open_cells, open_cells.select("cell", "key", "n")
+        discard(members, pivots)
+        members = open_cells
         alike = 100 * F.least("n", "pivot.n").cast("long") >= terms.percent * F.greatest("n", "pivot.n").cast("long")
         pairs = open_cells.filter("comp <> pivot.comp").filter(alike).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
         near = bounded(pairs.join(point("a"), "a").join(point("b"), "b"), terms)
-        near = near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
-        found = joined(labels, verified(near, sets, terms))
-        release(spark)
+        near = cut(near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")), "near")
+        links = verified(near, sets, terms)
+        discard(near)
+        found = joined(labels, links)
         if found is None:
             break
         labels = found
@@ -514,30 +424,27 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         was, kinds = kinds, labels.select("comp").distinct().count()
         if 100 * (was - kinds) < kinds:
             break
-    # all pairs of different components in the cells that still have several
-    placed = members.join(labels, "key")
-    left = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size")
-    rest = cut(placed.join(left, "cell"), "rest")
-    discard(staged)
-    release(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # small cells, a few leaves each, give pairs of keys; points are joined to the distinct ones
-    small = rest.filter(F.col("size") <= COMMON).select("cell", "key", "comp", "n").repartition(parts, "cell").sortWithinPartitions("cell", "n")
-    like_sized = cut(small.mapInArrow(_small_cell_pairs(terms), "a long, b long").distinct(), "near")
-    release(spark)
-    near = bounded(like_sized.join(point("a"), "a").join(point("b"), "b"), terms).select("a", "b")
-    # large ones go through the tree, block by block
-    large = rest.filter(F.col("size") > COMMON).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(classes.select("key", "counts"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    pairs = near.unionByName(grouped.mapInArrow(_block_pairs(terms), "a long, b long")).distinct()
+    pairs = cut(tree_pairs(members, labels, sets, terms), "pairs")
     links = verified(pairs, sets, terms)
-    discard(rest, like_sized)
+    discard(members, pairs)
     found = joined(labels, links)
-    release(spark)
+    discard(sets)
     return labels if found is None else found
 
 
+def tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell and whose points allow the overlap needed."""
+    spark = members.sparkSession
+    placed = members.select("cell", "key", "n").join(labels, "key")
+    left = cut(placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size"), "left")
+    rest = placed.join(left, "cell").join(sets.select("key", "counts"), "key")
+    dealt = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("comp", F.floor(F.col("n") / 64)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return grouped.mapInArrow(_block_pairs(terms), "a long, b long").distinct()
+
+
 def components(docs: DataFrame, terms: Terms = Terms(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
     return labelled(docs, terms, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
@@ -547,8 +454,10 @@ def labelled(docs: DataFrame, terms: Terms, id_col: str, text_col: str) -> DataF
     """id, n, class key, component and its smallest id of every document."""
     profile = cut(points(docs, terms, id_col, text_col), "points")
     labels = class_labels(docs, profile, terms, id_col, text_col)
-    named = profile.select("id", "n", "key").join(labels, "key", "left").select("id", "n", "key", F.coalesce("comp", "key").alias("comp"))
-    least = named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
+    named = cut(profile.select("id", "n", "key").join(labels, "key", "left").select("id", "n", "key", F.coalesce("comp", "key").alias("comp")), "named")
+    discard(profile, labels)
+    # staged: a component that holds a third of all rows can then be split where it is joined
+    least = cut(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")), "least")
     linked = named.filter("n > 0").join(least, "comp").select("id", "n", "key", "comp", "least")
     return linked.unionByName(named.filter("n = 0").select("id", "n", "key", "comp", F.col("id").alias("least")))
 
@@ -559,7 +468,7 @@ def with_keys(docs: DataFrame, terms: Terms, text_col: str, name: str) -> DataFr
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
-                keys = [int(np.array([xxhash.xxh3_64_intdigest(u.tobytes())], U).view(np.int64)[0]) for u in shingle_sets(utf8(part, text_col), terms.words)]
+                keys = [class_key(u) for u in shingle_sets(utf8(part, text_col), terms.words)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -179,9 +179,10 @@ def shingles(t, w):
     return frozenset(tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)) if len(ws) >= w else frozenset([tuple(ws)] if ws else [])
 
 
-@pytest.mark.parametrize("words,percent,common", [(3, 90, 64), (5, 80, 64), (5, 80, 3)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, common):
-    monkeypatch.setattr(ngram_join, "COMMON", common)  # at 3 holders of common shingles and the tree are needed
+@pytest.mark.parametrize("words,percent,block", [(3, 90, 1024), (3, 90, 4), (5, 80, 1024), (5, 80, 4)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # at 4 the pairs of a cell come from several blocks
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1 if block == 4 else 3)
     r = random.Random(6)
     texts = list(ODD)
     for g in range(6):
@@ -212,21 +213,26 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, comm
 
 
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_linked_sets_share_a_cell(words, percent):
+def test_heads_of_linked_sets_share_enough(words, percent):
     terms, r = ngram_join.Terms(words, percent), random.Random(8)
-    for n in range(1, 200):
-        assert terms.apart(n) == max(t - 2 * terms.needed(t) for t in range(1, 2 * n + 1))
-    for n in range(3, 61):
-        for _ in range(20):
-            ws = [f"w{r.randrange(10**6)}" for _ in range(n + 1)]
-            a, b = ngram_join.shingle_sets([" ".join(ws[:n]).encode(), " ".join(ws).encode()], words)
-            if len(a) < len(b) and 100 * len(a) >= percent * len(b):
-                assert set(ngram_join.cells(a, terms)) & set(ngram_join.cells(b, terms)), n
+    for n in range(3, 400):
+        ws = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        other = [w if r.random() > 0.01 else "x" for w in ws][r.randrange(2) :] + ["y"] * r.randrange(2)
+        a, b = ngram_join.shingle_sets([" ".join(ws).encode(), " ".join(other).encode()], words)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            met = len(np.intersect1d(ngram_join.head(a, terms), ngram_join.head(b, terms)))
+            assert met >= max(terms.extra(terms.smallest(len(a))), terms.extra(terms.smallest(len(b)))), n
+
 
+def test_shared_is_extra_of_the_smallest_partner(spark):
+    for terms in (ngram_join.Terms(3, 90), ngram_join.Terms(5, 80), ngram_join.Terms(5, 83)):
+        got = spark.range(3000).select("id", terms.shared(F.col("id")).alias("s")).collect()
+        assert all(x["s"] == terms.extra(terms.smallest(x["id"])) for x in got)
 
-@pytest.mark.parametrize("words,percent,common", [(3, 90, 64)])
-def test_one_word_appended(spark, monkeypatch, words, percent, common):
-    monkeypatch.setattr(ngram_join, "COMMON", common)
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_one_word_appended(spark, words, percent):
     texts = []
     for n in range(3, 61):
         ws = [f"t{n}w{i}" for i in range(n)]
@@ -238,7 +244,7 @@ def test_one_word_appended(spark, monkeypatch, words, percent, common):
 
 
 def test_word_appended_to_a_common_passage(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     terms = ngram_join.Terms(5, 80)
     texts = []
     for n in (8, 9, 10, 11):
@@ -247,6 +253,7 @@ def test_word_appended_to_a_common_passage(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.components(docs(spark, texts), terms).collect()}
     assert got == {i: i // 100 * 100 for i, _ in texts}
     assert {x["doc_id"] for x in ngram_join.keep_one(docs(spark, texts), terms).collect()} == {800, 900, 1000, 1100}
+    assert ngram_join.components(docs(spark, texts).filter("false"), terms).count() == ngram_join.keep_one(docs(spark, texts).filter("false"), terms).count() == 0
 
 
 def test_one_row_of_repeated_and_reused_ids(spark):
