@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistra.functions.hashing import h60, h60_seeded, unit
+from gistra.functions.hashing import h60, h60_seeded
 
 
 def _rows(df: DataFrame, rows: int) -> DataFrame:
@@ -32,13 +32,13 @@ def count_min_estimate(keys: DataFrame, key: str, table: DataFrame, rows: int =
     return looked.join(table, ["row", "bucket"], "left").groupBy(key).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
 
 
-def count_sketch(df: DataFrame, key: str, rows: int = 5, width: int = 256, weight: str | None = None) -> DataFrame:
+def signed_counts(df: DataFrame, key: str, rows: int = 5, width: int = 256, weight: str | None = None) -> DataFrame:
     """row, bucket, cnt with hashed signs; weights may be negative (subtraction)."""
     totals = df.filter(F.col(key).isNotNull()).groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("w"))
     return _rows(totals, rows).groupBy("row", _bucket(F.col(key), width).alias("bucket")).agg(F.sum(_sign(F.col(key)) * F.col("w")).alias("cnt"))
 
 
-def count_sketch_estimate(keys: DataFrame, key: str, table: DataFrame, rows: int = 5, width: int = 256) -> DataFrame:
+def signed_estimate(keys: DataFrame, key: str, table: DataFrame, rows: int = 5, width: int = 256) -> DataFrame:
     """key, estimate: the median of its signed cells."""
     looked = _rows(keys.select(key).distinct(), rows).withColumn("bucket", _bucket(F.col(key), width))
     cells = looked.join(table, ["row", "bucket"], "left")
@@ -89,19 +89,20 @@ def decayed(df: DataFrame, key: str, age: str, half_life: float) -> DataFrame:
     return df.groupBy(key).agg(F.round(F.sum(F.pow(F.lit(0.5), F.col(age) / half_life)), 6).alias("weight"))
 
 
-def morris(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """key, level, estimate of a probabilistic counter whose coins are hashed from key and occurrence.
-
-    Whether occurrence i raises the level depends on the level then, so it is folded over the key's coins;
-    a key's coins are pre-sorted numbers, not rows of the input.
-    """
-    seen = running_count(df, key, order)
-    coins = seen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seen", unit(h60(F.concat_ws("#", F.col(key).cast("string"), F.col("seen").cast("string")), 9)).alias("u")))).alias("coins"))
-    level = F.aggregate("coins", F.lit(0), lambda c, x: F.when(x["u"] < F.pow(F.lit(2.0), -c.cast("double")), c + 1).otherwise(c))
-    return coins.select(key, level.alias("level")).withColumn("estimate", F.pow(F.lit(2.0), F.col("level") - 1))
+def signed_by(df: DataFrame, h: Column, weight: Column, width: int) -> DataFrame:
+    """bucket, cnt: one row of signed, weighted counts; a hash of its own gives bucket (its remainder) and sign (bit 40)."""
+    sign = F.when(F.shiftright("h_", 40).bitwiseAND(1) == 0, 1).otherwise(-1)
+    keyed = df.select(h.alias("h_"), weight.alias("w_")).groupBy("h_").agg(F.sum("w_").alias("w_"))
+    return keyed.groupBy((F.col("h_") % width).cast("int").alias("bucket")).agg(F.sum(sign * F.col("w_")).alias("cnt"))
 
 
 def last_n(df: DataFrame, key: str, order: list[str], n: int, group: str) -> DataFrame:
     """key, cnt within the last n rows of each group."""
     w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("back_", F.row_number().over(w)).filter(F.col("back_") <= n).groupBy(group, key).agg(F.count("*").alias("cnt"))
+
+
+def last_n_signed(df: DataFrame, key: str, order: list[str], n: int, group: str, rows: int = 5, width: int = 256) -> DataFrame:
+    """group, row, bucket, cnt: signed counts of the last n rows of each group: what leaves the window is never counted."""
+    recent = last_n(df, key, order, n, group)
+    return _rows(recent, rows).groupBy(group, "row", _bucket(F.col(key), width).alias("bucket")).agg(F.sum(_sign(F.col(key)) * F.col("cnt")).alias("cnt"))

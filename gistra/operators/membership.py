@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistra.functions.hashing import h60, h60_seeded
+from gistra.operators import pairs as pr
 
 
-def bits(df: DataFrame, groups: list[str], key: str, size: int, hashes: int) -> DataFrame:
+def bits(df: DataFrame, groups: list[str], key: str, size: int, hashes: int, seed: int = 0) -> DataFrame:
     """groups, bit: the positions that are set."""
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h60_seeded(F.col(key), i) % size).cast("int")))
+    at = F.explode(F.transform(F.sequence(F.lit(seed), F.lit(seed + hashes - 1)), lambda i: (h60_seeded(F.col(key), i) % size).cast("int")))
     return df.filter(F.col(key).isNotNull()).select(*groups, key).distinct().select(*groups, at.alias("bit")).distinct()
 
 
@@ -27,6 +28,49 @@ def optimal_hashes(size: int, keys: int) -> int:
     return max(1, math.ceil(math.log(2) * size / keys))
 
 
+def optimal_hashes_column(size: int, keys: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(math.log(2) * size / keys)).cast("int")
+
+
+def test_and_add(df: DataFrame, key: str, order: str, size: int, hashes: int) -> DataFrame:
+    """order, seen: whether all bits of a row's key were set by rows before it, as if rows came one by one."""
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h60_seeded(F.col(key), i) % size).cast("int")))
+    rows = df.filter(F.col(key).isNotNull()).select(order, at.alias("bit"))
+    first = rows.groupBy("bit").agg(F.min(order).alias("first_"))
+    return rows.join(first, "bit").groupBy(order).agg(F.every(F.col("first_") < F.col(order)).alias("seen"))
+
+
+def batch_words(answers: DataFrame, key: str, width: int) -> DataFrame:
+    """word, bits: answers (key, maybe) of whole-number keys packed ``width`` to a number."""
+    bit = F.when(F.col("maybe"), F.expr(f"shiftleft(1L, cast({key} % {width} as int))")).otherwise(0)
+    return answers.groupBy(F.expr(f"{key} div {width}").alias("word")).agg(F.sum(bit).alias("bits"))
+
+
+def resized(table: DataFrame, groups: list[str], size: int, to: int) -> DataFrame:
+    """The filter at a smaller size that divides the present one, as if built so."""
+    if size % to:
+        raise ValueError("the new size must divide the old")
+    return table.select(*groups, (F.col("bit") % to).cast("int").alias("bit")).distinct()
+
+
+def measures(table: DataFrame, group: str, size: int, hashes: int) -> DataFrame:
+    """i < j, union_size, intersection, jaccard, containment of i in j, bit_jaccard of all pairs of groups."""
+    n = table.groupBy(group).agg(F.count("*").alias("n"))
+    o = pr.sided(n, group, overlaps(table, group), ["n"])
+    card = lambda c: F.ln(1 - c / float(size)) / (hashes * math.log(1 - 1 / size))
+    e = o.select("i", "j", "common", "either", card(F.col("n_i")).alias("a"), card(F.col("n_j")).alias("b"), card(F.col("either")).alias("u"))
+    e = e.withColumn("is", F.greatest(F.lit(0.0), F.col("a") + F.col("b") - F.col("u")))
+    return e.select("i", "j", F.round("u", 4).alias("union_size"), F.round("is", 4).alias("intersection"), F.round(F.col("is") / F.col("u"), 6).alias("jaccard"), F.round(F.col("is") / F.col("a"), 6).alias("containment"), F.round(F.col("common") / F.col("either"), 6).alias("bit_jaccard"))
+
+
+def sample_measures(table: DataFrame, group: str, modulus: int) -> DataFrame:
+    """i < j, jaccard, containment of i in j, union_size of all pairs of hash-modulus samples."""
+    both = pr.filled(pr.group_pairs(table, group), pr.meeting(table, group, ["v"], "v", c=F.count("*")), c=0)
+    t = pr.sided(table.groupBy(group).agg(F.count("*").alias("n")), group, both, ["n"])
+    u = F.col("n_i") + F.col("n_j") - F.col("c")
+    return t.select("i", "j", F.round(F.col("c") / u, 6).alias("jaccard"), F.round(F.col("c") / F.col("n_i"), 6).alias("containment"), (u * modulus).alias("union_size"))
+
+
 def cardinality(table: DataFrame, groups: list[str], size: int, hashes: int) -> DataFrame:
     filled = F.count("*") / float(size)
     return table.groupBy(*groups).agg(F.round(F.ln(1 - filled) / (hashes * math.log(1 - 1 / size)), 6).alias("estimate"))
@@ -37,12 +81,11 @@ def halve(table: DataFrame, groups: list[str], size: int) -> DataFrame:
 
 
 def overlaps(table: DataFrame, group: str) -> DataFrame:
-    """i < j, common, either, one: sizes of AND, OR and XOR of the groups' bits that meet somewhere."""
+    """i < j, common, either, one: sizes of AND, OR and XOR of the bits of all pairs of groups."""
     sizes = table.groupBy(group).agg(F.count("*").alias("n"))
-    a, b = table.select(F.col(group).alias("i"), "bit"), table.select(F.col(group).alias("j"), "bit")
-    both = a.join(b, "bit").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("common"))
-    x, y = sizes.select(F.col(group).alias("i"), F.col("n").alias("x")), sizes.select(F.col(group).alias("j"), F.col("n").alias("y"))
-    return both.join(x, "i").join(y, "j").select("i", "j", "common", (F.col("x") + F.col("y") - F.col("common")).alias("either"), (F.col("x") + F.col("y") - 2 * F.col("common")).alias("one"))
+    both = pr.filled(pr.group_pairs(table, group), pr.meeting(table, group, ["bit"], "bit", common=F.count("*")), common=0)
+    n = F.col("n_i") + F.col("n_j")
+    return pr.sided(sizes, group, both, ["n"]).select("i", "j", "common", (n - F.col("common")).alias("either"), (n - 2 * F.col("common")).alias("one"))
 
 
 def mod_sample(df: DataFrame, groups: list[str], key: str, modulus: int) -> DataFrame:

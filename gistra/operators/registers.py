@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistra.functions.hashing import BITS, h60, rank, register, remainder
+from gistra.operators import pairs as pr
 
 
 def hll(df: DataFrame, groups: list[str], key: Column | str, p: int = 10, seed: int = 0) -> DataFrame:
@@ -133,24 +134,19 @@ def estimate_by(table: DataFrame, groups: list[str], p: int, method: str) -> Dat
     return bins.select(*groups, solved("bins").alias("estimate"))
 
 
-def pair_values(table: DataFrame, group: str) -> DataFrame:
-    """i < j, reg, a, b: both groups' registers, 0 where one has none. The groups' list must be short."""
-    names = table.select(F.col(group).alias("g")).distinct()
-    full = table.select(F.col(group).alias("g"), "reg", "val")
-    regs = full.join(names.select(F.col("g").alias("o")), F.col("g") != F.col("o"))
-    sided = regs.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "reg", F.when(F.col("g") < F.col("o"), F.col("val")).alias("a"), F.when(F.col("g") > F.col("o"), F.col("val")).alias("b"))
-    return sided.groupBy("i", "j", "reg").agg(F.coalesce(F.max("a"), F.lit(0)).alias("a"), F.coalesce(F.max("b"), F.lit(0)).alias("b"))
-
-
 def comparisons(table: DataFrame, group: str, p: int) -> DataFrame:
-    """i, j, card_i, card_j, union_size, intersection, jaccard, containment (of i in j), a_only, b_only."""
+    """i, j, card_i, card_j, union_size, intersection, jaccard, containment (of i in j), a_only, b_only of all pairs.
+
+    Registers meet by an equi-join; what only one group has comes from its totals.
+    """
     m = 1 << p
-    est = lambda s, n: raw_estimate(F.col(s) + (m - F.col(n)), m - F.col(n), m)
-    two = lambda c: F.sum(F.when(c > 0, F.pow(F.lit(2.0), -c)).otherwise(0.0))
-    n = lambda c: F.sum((c > 0).cast("int"))
-    g = F.greatest("a", "b")
-    sums = pair_values(table, group).groupBy("i", "j").agg(two(F.col("a")).alias("sa"), n(F.col("a")).alias("na"), two(F.col("b")).alias("sb"), n(F.col("b")).alias("nb"), two(g).alias("su"), F.count("*").alias("nu"))
-    e = sums.select("i", "j", est("sa", "na").alias("x"), est("sb", "nb").alias("y"), est("su", "nu").alias("u"))
+    power = lambda c: F.pow(F.lit(2.0), -c)
+    both = pr.meeting(table, group, ["reg"], "val", c=F.count("*"), g=F.sum(power(F.greatest("x", "y"))), x=F.sum(power(F.col("x"))), y=F.sum(power(F.col("y"))))
+    full = pr.filled(pr.group_pairs(table, group), both, c=0, g=0.0, x=0.0, y=0.0)
+    totals = table.groupBy(group).agg(F.sum(power(F.col("val"))).alias("s"), F.count("*").alias("n"))
+    t = pr.sided(totals, group, full, ["s", "n"])
+    est = lambda s, n: raw_estimate(s + (m - n), m - n, m)
+    e = t.select("i", "j", est(F.col("s_i"), F.col("n_i")).alias("x"), est(F.col("s_j"), F.col("n_j")).alias("y"), est(F.col("g") + F.col("s_i") - F.col("x") + F.col("s_j") - F.col("y"), F.col("n_i") + F.col("n_j") - F.col("c")).alias("u"))
     e = e.withColumn("is", F.greatest(F.lit(0.0), F.col("x") + F.col("y") - F.col("u")))
     r = lambda c: F.round(c, 6)
     return e.select("i", "j", r(F.col("x")).alias("card_i"), r(F.col("y")).alias("card_j"), r(F.col("u")).alias("union_size"), r(F.col("is")).alias("intersection"), r(F.col("is") / F.col("u")).alias("jaccard"), r(F.col("is") / F.col("x")).alias("containment"), r(F.col("x") - F.col("is")).alias("a_only"), r(F.col("y") - F.col("is")).alias("b_only"))
@@ -163,18 +159,43 @@ def contains(probe: DataFrame, key: str, table: DataFrame, p: int, seed: int = 0
     return looked.select(*probe.columns, (F.coalesce("val", F.lit(0)) >= rank(F.col("h_"), p)).alias("maybe"))
 
 
+def bit_maps(df: DataFrame, groups: list[str], key: str, p: int = 6) -> DataFrame:
+    """groups, reg, bits: the ranks seen, or-merged."""
+    bit = F.least(rank(h60(key), p) - 1, F.lit(62))
+    return df.groupBy(*groups, register(h60(key), p).alias("reg")).agg(F.bit_or(F.pow(F.lit(2), bit).cast("bigint")).alias("bits"))
+
+
 def pcsa(df: DataFrame, groups: list[str], key: str, p: int = 6) -> DataFrame:
     """groups, estimate from or-merged bit patterns: n * 1.292808 * 2 ** mean of the lowest unset bit."""
-    bit = F.least(rank(h60(key), p) - 1, F.lit(62))
-    maps = df.groupBy(*groups, register(h60(key), p).alias("reg")).agg(F.bit_or(F.pow(F.lit(2), bit).cast("bigint")).alias("bits"))
+    maps = bit_maps(df, groups, key, p)
     lowest = F.length(F.regexp_extract(F.reverse(F.bin("bits")), "^(1*)", 1))
     m = 1 << p
     return maps.groupBy(*groups).agg(F.sum(lowest).alias("s")).select(*groups, F.round(m * 1.292808 * F.pow(F.lit(2.0), F.col("s") / m), 6).alias("estimate"))
 
 
-def kmv(df: DataFrame, groups: list[str], key: str, k: int = 64, seed: int = 0) -> DataFrame:
-    """groups, rk, h: the k smallest distinct hashes. Distinct first, so repeats don't reach the window."""
-    w = Window.partitionBy(*groups).orderBy("h")
+def merged(keys: list[str], how, *tables: DataFrame, value: str = "val") -> DataFrame:
+    """Union of tables whose cells merge by max, min, or, or sum (``how`` is the aggregate function)."""
+    out = tables[0].select(*keys, value)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*keys, value))
+    return out.groupBy(*keys).agg(how(value).alias(value))
+
+
+def merged_smallest(a: DataFrame, b: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """groups, h: the k smallest of two tables of smallest hashes."""
+    both = a.select(*groups, "h").union(b.select(*groups, "h")).distinct()
+    return both.withColumn("rk", F.row_number().over(Window.partitionBy(*groups).orderBy("h"))).filter(F.col("rk") <= k).select(*groups, "h")
+
+
+def counted_smallest(df: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
+    """groups, h, cnt: the k smallest hashes and how often their keys came."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(*groups, key).agg(F.count("*").alias("cnt")).select(*groups, h60(key).alias("h"), "cnt")
+    return counts.withColumn("rk", F.row_number().over(Window.partitionBy(*groups).orderBy("h"))).filter(F.col("rk") <= k).drop("rk")
+
+
+def kmv(df: DataFrame, groups: list[str], key: str, k: int = 64, seed: int = 0, largest: bool = False) -> DataFrame:
+    """groups, rk, h: the k smallest (or largest) distinct hashes. Distinct first, so repeats don't reach the window."""
+    w = Window.partitionBy(*groups).orderBy(F.desc("h") if largest else F.col("h"))
     distinct = df.select(*groups, h60(key, seed).alias("h")).filter("h IS NOT NULL").distinct()
     return distinct.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
@@ -210,6 +231,73 @@ def oph_estimate(table: DataFrame, groups: list[str], p: int) -> DataFrame:
     return s.select(*groups, F.round(F.lit(float(m) * m) / (F.col("s").cast("double") / unit + (m - F.col("n"))), 6).alias("estimate"))
 
 
+def oph_measures(table: DataFrame, group: str, p: int) -> DataFrame:
+    """i < j, jaccard, intersection, union_size, containment of all pairs from one-permutation minima: of cardinalities A, B
+    and a Jaccard J the intersection is (A + B) J / (1 + J)."""
+    equal = matches(table, group)
+    t = pr.sided(oph_estimate(table, [group], p), group, equal, ["estimate"]).withColumn("jac", F.col("equal") / (1 << p))
+    both = F.col("estimate_i") + F.col("estimate_j")
+    inter = both * F.col("jac") / (1 + F.col("jac"))
+    return t.select("i", "j", F.round("jac", 6).alias("jaccard"), F.round(inter, 4).alias("intersection"), F.round(both - inter, 4).alias("union_size"), F.round(inter / F.col("estimate_i"), 6).alias("containment"))
+
+
+def first_arrivals(df: DataFrame, group: str, key: str, order: str, p: int) -> DataFrame:
+    """group, estimate: the running estimate that grows by m over the registers' harmonic sum whenever a register rises.
+
+    A rise can only come from the first row with its register and rank, so at most 64 rows a register are left to
+    put in order, whatever the stream's length.
+    """
+    h = h60(key)
+    first = df.filter(F.col(key).isNotNull()).groupBy(group, register(h, p).alias("reg"), rank(h, p).alias("val")).agg(F.min(order).alias("at"))
+    return risen(first, group, p)
+
+
+def risen(first: DataFrame, group: str, p: int) -> DataFrame:
+    """group, estimate from (group, reg, val, at): each register's first row of each rank."""
+    m = 1 << p
+    before = Window.partitionBy(group, "reg").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rises = first.withColumn("old", F.coalesce(F.max("val").over(before), F.lit(0))).filter(F.col("val") > F.col("old"))
+    fall = F.when(F.col("old") == 0, 1.0).otherwise(F.pow(F.lit(2.0), -F.col("old"))) - F.pow(F.lit(2.0), -F.col("val"))
+    run = rises.withColumn("gone", F.sum(fall).over(Window.partitionBy(group).orderBy("at")) - fall)
+    return run.groupBy(group).agg(F.round(F.sum(m / (m - F.col("gone"))), 4).alias("estimate"))
+
+
+def bit_pair_counters(df: DataFrame, group: str, key: str, order: str, buckets: int) -> DataFrame:
+    """group, estimate: sum over ``buckets`` of counters of two 64-bit maps and a level, each fed its keys' first rows in order.
+
+    A counter's state is three numbers; partitions are read once, sorted by bucket and order, and no group is held.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    h = h60(key)
+    first = df.filter(F.col(key).isNotNull()).groupBy(group, h.alias("h")).agg(F.min(order).alias("at"))
+    dealt = first.select(group, (F.col("h") % buckets).cast("int").alias("bucket"), F.expr(f"h div {buckets}").alias("v"), "at").repartition(group, "bucket").sortWithinPartitions(group, "bucket", "at")
+
+    def run(batches):
+        state, own = [5, 0, 0], None
+        for batch in batches:
+            out = []
+            for g, b, v in zip(batch[group], batch["bucket"], batch["v"]):
+                if (g, b) != own:
+                    if own is not None:
+                        out.append((*own, *state[:2]))
+                    state, own = [5, 0, 0], (g, b)
+                v = int(v)
+                zeros = (v & -v).bit_length() - 1 if v else 60
+                if zeros > state[0]:
+                    bit = 1 << ((v >> (zeros + 1)) % 64)
+                    state[1] |= bit
+                    if zeros > state[0] + 1:
+                        state[2] |= bit
+                    if state[1].bit_count() > 31:
+                        state = [state[0] + 1, state[2], 0]
+            yield pd.DataFrame([(g, b, lv + 5.8 + m.bit_count() / 32) for g, b, lv, m in out], columns=["g", "b", "e"])
+        if own is not None:
+            yield pd.DataFrame([(*own, state[0] + 5.8 + state[1].bit_count() / 32)], columns=["g", "b", "e"])
+
+    logs = dealt.mapInPandas(run, f"g {kind}, b int, e double")
+    return logs.groupBy(F.col("g").alias(group)).agg(F.round(F.sum(F.pow(F.lit(2.0), F.col("e"))), 4).alias("estimate"))
+
+
 def hyper(df: DataFrame, groups: list[str], key: Column | str, p: int = 8, r: int = 10) -> DataFrame:
     """Registers of (rank, r more bits) in one number, merged by max."""
     h2 = h60(key, "second").bitwiseAND((1 << r) - 1)
@@ -217,15 +305,14 @@ def hyper(df: DataFrame, groups: list[str], key: Column | str, p: int = 8, r: in
 
 
 def matches(table: DataFrame, group: str) -> DataFrame:
-    """i < j, equal: registers with equal values, by an equi-join on register and value (no pair is made for
-    groups without a match)."""
-    a, b = table.select(F.col(group).alias("i"), "reg", "val"), table.select(F.col(group).alias("j"), "reg", "val")
-    return a.join(b, ["reg", "val"]).filter("i < j").groupBy("i", "j").agg(F.count("*").alias("equal"))
+    """i < j, equal: registers with equal values, 0 for pairs without one."""
+    both = pr.meeting(table, group, ["reg", "val"], "val", equal=F.count("*"))
+    return pr.filled(pr.group_pairs(table, group), both, equal=0)
 
 
 def orders(table: DataFrame, group: str) -> DataFrame:
     """i < j, gt, lt: registers of i above and below those of j."""
-    return pair_values(table, group).groupBy("i", "j").agg(F.sum((F.col("a") > F.col("b")).cast("int")).alias("gt"), F.sum((F.col("a") < F.col("b")).cast("int")).alias("lt"))
+    return pr.compared(table, group).select("i", "j", "gt", "lt")
 
 
 def densified(table: DataFrame, groups: list[str], p: int, tries: int = 64) -> DataFrame:

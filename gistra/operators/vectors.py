@@ -22,12 +22,18 @@ def project(entries: DataFrame, key: str, rows: int, width: int, p: float | None
     return e.groupBy(key, "row", (h60_seeded(F.col("idx"), F.col("row")) % width).cast("int").alias("bucket")).agg(F.round(F.sum(sign * x), 6).alias("s"))
 
 
-def recover(table: DataFrame, entries: DataFrame, key: str, rows: int, width: int) -> DataFrame:
-    """key, idx, estimate: median over rows of the signed cells."""
+def transform(entries: DataFrame, key: str, kind: str, rows: int, width: int, p: float = 2.0) -> DataFrame:
+    """A projection by name: "signed" or "scaled" (by exponentials to the power 1/p), or "cauchy" sums."""
+    return {"signed": lambda: project(entries, key, rows, width), "scaled": lambda: project(entries, key, rows, width, p), "cauchy": lambda: cauchy_sums(entries, key, rows)}[kind]()
+
+
+def recover(table: DataFrame, entries: DataFrame, key: str, rows: int, width: int, p: float | None = None, digits: int = 6) -> DataFrame:
+    """key, idx, estimate: median over rows of the signed cells, scaled back if they were scaled."""
     e = entries.select(key, "idx").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     sign = F.when(h60_seeded(F.col("idx"), F.col("row") + 1000) % 2 == 0, 1.0).otherwise(-1.0)
     cells = e.withColumn("bucket", (h60_seeded(F.col("idx"), F.col("row")) % width).cast("int")).withColumn("sign", sign).join(table, [key, "row", "bucket"])
-    return cells.groupBy(key, "idx").agg(F.round(F.median(F.col("sign") * F.col("s")), 6).alias("estimate"))
+    back = F.lit(1.0) if p is None else F.pow(-F.ln(unit(h60_seeded(F.col("idx"), F.lit("e")))), F.lit(1 / p))
+    return cells.groupBy(key, "idx").agg(F.round(F.median(F.col("sign") * F.col("s") * back), digits).alias("estimate"))
 
 
 def top_indices(entries: DataFrame, key: str, k: int, by: str = "x") -> DataFrame:
@@ -35,12 +41,17 @@ def top_indices(entries: DataFrame, key: str, k: int, by: str = "x") -> DataFram
     return entries.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(key, "idx", F.col(by), "rk")
 
 
-def l1_norm(entries: DataFrame, key: str, tables: int) -> DataFrame:
-    """key, norm: median magnitude of Cauchy projections."""
+def cauchy_sums(entries: DataFrame, key: str, tables: int, digits: int = 6) -> DataFrame:
+    """key, t, s: projections on Cauchy numbers, cut at 30000 either way; they merge by sum and subtract."""
     e = entries.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
     cauchy = F.tan(math.pi * (unit(h60_seeded(F.col("idx"), F.col("t"))) - 0.5))
     cauchy = F.greatest(F.lit(-30000.0), F.least(F.lit(30000.0), cauchy))
-    return e.groupBy(key, "t").agg(F.abs(F.sum(F.col("x") * cauchy)).alias("s")).groupBy(key).agg(F.round(F.median("s"), 4).alias("norm"))
+    return e.groupBy(key, "t").agg(F.round(F.sum(F.col("x") * cauchy), digits).alias("s"))
+
+
+def l1_norm(entries: DataFrame, key: str, tables: int) -> DataFrame:
+    """key, norm: median magnitude of Cauchy projections."""
+    return cauchy_sums(entries, key, tables, 9).groupBy(key).agg(F.round(F.median(F.abs("s")), 4).alias("norm"))
 
 
 def log_bins(df: DataFrame, groups: list[str], value: str, accuracy: float) -> DataFrame:

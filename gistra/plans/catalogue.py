@@ -66,6 +66,11 @@ def HLL(name, src, group, key, p=10):
     return f"{name} AS (SELECT {group}, {REG('h', p)} AS reg, max({RANK('h', p)}) AS val FROM (SELECT {group}, {H(key)} AS h FROM {src}) WHERE h IS NOT NULL GROUP BY ALL)"
 
 
+def ALL(t, g):
+    """All pairs of groups."""
+    return f"n_ AS (SELECT DISTINCT {g} AS g FROM {t}), q_ AS (SELECT x.g AS i, y.g AS j FROM n_ x JOIN n_ y ON x.g < y.g)"
+
+
 P, M = 10, 1024
 EV = HLL("r", "events", "event_type", "user_id")
 EST = f"SELECT event_type, round({RAW(f'sum(pow(2.0, -val)) + ({M} - count(*))', f'{M} - count(*)', M)}, 6) AS estimate FROM"
@@ -105,7 +110,7 @@ query("hll_full_comparison", f"{PAIRS}, e AS (SELECT i, j, {_raw('a')} AS x, {_r
     lambda s, d: rg.comparisons(flags(s, d), "l_returnflag", P)
 )
 query("register_gtlt", f"{PAIRS} SELECT i, j, sum((a > b)::INTEGER)::BIGINT AS gt, sum((a < b)::INTEGER)::BIGINT AS lt FROM p GROUP BY i, j")(lambda s, d: rg.orders(flags(s, d), "l_returnflag"))
-query("register_match", f"WITH {HLL('r', 'lineitem', 'l_returnflag', 'l_partkey')} SELECT a.l_returnflag AS i, b.l_returnflag AS j, count(*) AS equal FROM r a JOIN r b USING (reg, val) WHERE a.l_returnflag < b.l_returnflag GROUP BY ALL")(lambda s, d: rg.matches(flags(s, d), "l_returnflag"))
+query("register_match", f"WITH {HLL('r', 'lineitem', 'l_returnflag', 'l_partkey')}, {ALL('r', 'l_returnflag')} SELECT i, j, count(b.reg) AS equal FROM q_ JOIN r a ON a.l_returnflag = i LEFT JOIN r b ON b.l_returnflag = j AND a.reg = b.reg AND a.val = b.val GROUP BY ALL")(lambda s, d: rg.matches(flags(s, d), "l_returnflag"))
 PC = f"WITH b AS (SELECT event_type, {REG(H('user_id'), 6)} AS reg, bit_or((1::BIGINT) << least({RANK(H('user_id'), 6)} - 1, 62)) AS bits FROM events GROUP BY ALL) SELECT event_type, round(64 * 1.292808 * pow(2.0, sum(length(regexp_extract(reverse(bin(bits)), '^(1*)', 1))) / 64.0), 6) AS estimate FROM b GROUP BY event_type"
 query("pcsa_estimate", PC)(lambda s, d: rg.pcsa(table(s, d, "events"), ["event_type"], "user_id"))
 
@@ -115,18 +120,19 @@ KMV = f"k AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY h):
 
 
 def words(s, d):
-    return table(s, d, "documents").select("source", F.explode(hx.tokens(F.col("text"))).alias("word"))
+    """Distinct words of each source: once in a row, then once in all, so that each is hashed once."""
+    return table(s, d, "documents").select("source", F.explode(F.array_distinct(hx.tokens(F.col("text")))).alias("word")).distinct()
 
 
 def smallest(s, d):
     return rg.kmv(words(s, d), ["source"], "word", K).select("source", "rk", "h")
 
 
-query("bottomk_sketch", f"WITH {WORDS}, {KMV} SELECT * FROM k")(smallest)
+query("bottomk_table", f"WITH {WORDS}, {KMV} SELECT * FROM k")(smallest)
 query("kmv_estimate", f"WITH {WORDS}, {KMV} SELECT source, round(CASE WHEN count(*) < {K} THEN count(*)::DOUBLE ELSE {1 << 60}.0 / max(h) * {K} END, 6) AS estimate FROM k GROUP BY source")(lambda s, d: rg.kmv_estimate(smallest(s, d), ["source"], K))
 query(
     "bottomk_jaccard",
-    f"WITH {WORDS}, {KMV}, p AS (SELECT DISTINCT a.source AS i, b.source AS j FROM k a JOIN k b USING (h) WHERE a.source < b.source), u AS (SELECT i, j, h, count(*) AS c FROM p JOIN k ON k.source IN (i, j) GROUP BY ALL), t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY h) <= {K}) SELECT i, j, sum((c = 2)::INTEGER)::BIGINT AS shared, round(sum((c = 2)::INTEGER)::DOUBLE / count(*), 6) AS jaccard FROM t GROUP BY i, j",
+    f"WITH {WORDS}, {KMV}, {ALL('k', 'source')}, u AS (SELECT i, j, h, count(*) AS c FROM q_ JOIN k ON k.source IN (i, j) GROUP BY ALL), t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY h) <= {K}) SELECT i, j, sum((c = 2)::INTEGER)::BIGINT AS shared, round(sum((c = 2)::INTEGER)::DOUBLE / count(*), 6) AS jaccard FROM t GROUP BY i, j",
 )(lambda s, d: sm.bottom_jaccard(smallest(s, d), "source", K))
 OP = f"o AS (SELECT source, {REG('h', 7)} AS reg, min({REM('h', 7)}) AS val FROM (SELECT source, {H('word')} AS h FROM w) GROUP BY ALL)"
 
@@ -140,11 +146,11 @@ query("oph_fold", f"WITH {WORDS}, {OP} SELECT * FROM o")(lambda s, d: rg.oph_fol
 query("oph_cardinality", f"WITH {WORDS}, {OP} SELECT source, round(16384.0 / (sum(val::HUGEINT)::DOUBLE / {1 << 53}.0 + (128 - count(*))), 6) AS estimate FROM o GROUP BY source")(lambda s, d: rg.oph_estimate(oph(s, d), ["source"], 7))
 query("oph_div_buckets", f"WITH {WORDS} SELECT source, ({H('word')} % 100)::INTEGER AS reg, min({H('word')} // 100) AS val FROM w GROUP BY ALL")(lambda s, d: rg.div_buckets(words(s, d), ["source"], "word", 100))
 query("oph_densify")(lambda s, d: rg.densified(oph(s, d), ["source"], 7))
-query("bbit_jaccard", f"WITH {WORDS}, {OP} SELECT a.source AS i, b.source AS j, round(greatest(0.0, (count(*) / 128.0 - 1 / 256.0) / (1 - 1 / 256.0)), 6) AS jaccard FROM o a JOIN o b ON a.reg = b.reg AND a.val & 255 = b.val & 255 WHERE a.source < b.source GROUP BY ALL")(
+query("bbit_jaccard", f"WITH {WORDS}, {OP}, {ALL('o', 'source')} SELECT i, j, round(greatest(0.0, (count(b.reg) / 128.0 - 1 / 256.0) / (1 - 1 / 256.0)), 6) AS jaccard FROM q_ JOIN o a ON a.source = i LEFT JOIN o b ON b.source = j AND a.reg = b.reg AND a.val & 255 = b.val & 255 GROUP BY ALL")(
     lambda s, d: rg.matches(oph(s, d).withColumn("val", F.col("val").bitwiseAND(255)), "source").select("i", "j", F.round(F.greatest(F.lit(0.0), (F.col("equal") / 128 - 1 / 256) / (1 - 1 / 256)), 6).alias("jaccard"))
 )
 query("hyperminhash_registers", f"WITH {WORDS} SELECT source, {REG(H('word'), 8)} AS reg, max({RANK(H('word'), 8)} * 1024 + ({H('word', 'second')} & 1023)) AS val FROM w GROUP BY ALL")(lambda s, d: rg.hyper(words(s, d), ["source"], "word"))
-query("ccount_eq", f"WITH {WORDS}, {OP} SELECT a.source AS i, b.source AS j, count(*) AS equal FROM o a JOIN o b USING (reg, val) WHERE a.source < b.source GROUP BY ALL")(lambda s, d: rg.matches(oph(s, d), "source"))
+query("ccount_eq", f"WITH {WORDS}, {OP}, {ALL('o', 'source')} SELECT i, j, count(b.reg) AS equal FROM q_ JOIN o a ON a.source = i LEFT JOIN o b ON b.source = j AND a.reg = b.reg AND a.val = b.val GROUP BY ALL")(lambda s, d: rg.matches(oph(s, d), "source"))
 CS = f"c AS (SELECT source, x AS reg, min({HS('word', 'x')}) AS h FROM (SELECT DISTINCT source, word FROM w) CROSS JOIN range(0, 16) t(x) GROUP BY ALL)"
 CV = "-ln(1 - ((h >> 8)::DOUBLE + 0.5) / 4503599627370496.0)"
 
@@ -154,7 +160,7 @@ def continuous(s, d):
 
 
 query("css_cardinality", f"WITH {WORDS}, {CS} SELECT source, round(16 / sum({CV}), 4) AS estimate FROM c GROUP BY source")(lambda s, d: continuous(s, d).groupBy("source").agg(F.round(16 / F.sum("val"), 4).alias("estimate")))
-query("setsketch_registers", f"WITH {WORDS}, {CS} SELECT source, reg::INTEGER AS reg, greatest(0, least(255, floor(1 - ln({CV} / 20) / ln(1.2))))::INTEGER AS val FROM c")(lambda s, d: sm.quantised(continuous(s, d), 20.0, 1.2, 254))
+query("setreg_registers", f"WITH {WORDS}, {CS} SELECT source, reg::INTEGER AS reg, greatest(0, least(255, floor(1 - ln({CV} / 20) / ln(1.2))))::INTEGER AS val FROM c")(lambda s, d: sm.quantised(continuous(s, d), 20.0, 1.2, 254))
 
 BITS = f"b AS (SELECT DISTINCT source, ({HS('word', 'x')} % 65536)::INTEGER AS bit FROM w CROSS JOIN range(0, 3) t(x))"
 
@@ -166,7 +172,7 @@ def bloom(s, d):
 query("bloom_bits", f"WITH {WORDS}, {BITS} SELECT * FROM b")(bloom)
 query("bloom_halve", f"WITH {WORDS}, {BITS} SELECT DISTINCT source, bit % 32768 AS bit FROM b")(lambda s, d: mb.halve(bloom(s, d), ["source"], 65536))
 query("bloom_cardinality", f"WITH {WORDS}, {BITS} SELECT source, round(ln(1 - count(*) / 65536.0) / (3 * ln(1 - 1 / 65536.0)), 6) AS estimate FROM b GROUP BY source")(lambda s, d: mb.cardinality(bloom(s, d), ["source"], 65536, 3))
-query("bloom_and_or_xor", f"WITH {WORDS}, {BITS}, n AS (SELECT source, count(*) AS n FROM b GROUP BY source), p AS (SELECT a.source AS i, b2.source AS j, count(*) AS common FROM b a JOIN b b2 USING (bit) WHERE a.source < b2.source GROUP BY ALL) SELECT i, j, common, x.n + y.n - common AS either, x.n + y.n - 2 * common AS one FROM p JOIN n x ON x.source = i JOIN n y ON y.source = j")(lambda s, d: mb.overlaps(bloom(s, d), "source"))
+query("bloom_and_or_xor", f"WITH {WORDS}, {BITS}, n AS (SELECT source, count(*) AS n FROM b GROUP BY source), {ALL('b', 'source')}, p AS (SELECT i, j, count(y.bit) AS common FROM q_ JOIN b x ON x.source = i LEFT JOIN b y ON y.source = j AND x.bit = y.bit GROUP BY ALL) SELECT i, j, common, x.n + y.n - common AS either, x.n + y.n - 2 * common AS one FROM p JOIN n x ON x.source = i JOIN n y ON y.source = j")(lambda s, d: mb.overlaps(bloom(s, d), "source"))
 query("bloom_membership", f"WITH b AS (SELECT DISTINCT ({HS('o_custkey', 'x')} % 16384)::INTEGER AS bit FROM orders CROSS JOIN range(0, 4) t(x)) SELECT c_custkey, bool_and(({HS('c_custkey', 'x')} % 16384)::INTEGER IN (SELECT bit FROM b)) AS maybe FROM customer CROSS JOIN range(0, 4) t(x) GROUP BY c_custkey")(
     lambda s, d: mb.may_contain(table(s, d, "customer"), "c_custkey", mb.bits(table(s, d, "orders"), [], "o_custkey", 16384, 4), 16384, 4)
 )
@@ -186,7 +192,7 @@ def cm(s, d, where="true"):
 
 
 def cs(s, d):
-    return ct.count_sketch(table(s, d, "events"), "user_id")
+    return ct.signed_counts(table(s, d, "events"), "user_id")
 
 
 query("cm_table", CMK)(cm)
@@ -195,7 +201,7 @@ query("cm_merge", CMK)(lambda s, d: ct.combine(cm(s, d, "event_id % 2 = 0"), cm(
 query("cm_l2", f"WITH c AS ({CMK}), q AS (SELECT row, sum(cnt * cnt) AS s FROM c GROUP BY row) SELECT round(sqrt(median(s)), 6) AS l2 FROM q")(lambda s, d: ct.l2(cm(s, d)))
 query("cs_table", CSK)(cs)
 query("cs_fold", CSK.replace("% 256", "% 64"))(lambda s, d: ct.fold(cs(s, d), 64))
-query("cs_point", f"WITH c AS ({CSK}) SELECT user_id, median(CASE WHEN {HS('user_id', 'x + 1000')} % 2 = 0 THEN cnt ELSE -cnt END) AS estimate FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN range(0, 5) t(x) JOIN c ON row = x AND bucket = {HS('user_id', 'x')} % 256 GROUP BY user_id")(lambda s, d: ct.count_sketch_estimate(table(s, d, "events"), "user_id", cs(s, d)))
+query("cs_point", f"WITH c AS ({CSK}) SELECT user_id, median(CASE WHEN {HS('user_id', 'x + 1000')} % 2 = 0 THEN cnt ELSE -cnt END) AS estimate FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN range(0, 5) t(x) JOIN c ON row = x AND bucket = {HS('user_id', 'x')} % 256 GROUP BY user_id")(lambda s, d: ct.signed_estimate(table(s, d, "events"), "user_id", cs(s, d)))
 
 
 def _side(name, key):
@@ -203,13 +209,12 @@ def _side(name, key):
 
 
 query("cs_join_size", f"WITH a AS ({_side('orders', 'o_orderkey')}), b AS ({_side('lineitem', 'l_orderkey')}), q AS (SELECT row, sum(a.cnt * b.cnt) AS s FROM a JOIN b USING (row, bucket) GROUP BY row) SELECT median(s) AS join_size FROM q")(
-    lambda s, d: ct.join_size(ct.count_sketch(table(s, d, "orders"), "o_orderkey"), ct.count_sketch(table(s, d, "lineitem"), "l_orderkey"))
+    lambda s, d: ct.join_size(ct.signed_counts(table(s, d, "orders"), "o_orderkey"), ct.signed_counts(table(s, d, "lineitem"), "l_orderkey"))
 )
 query("topk_counts", f"SELECT user_id, count(*) AS cnt FROM events GROUP BY user_id ORDER BY cnt DESC, {H('user_id')}, user_id LIMIT 20")(lambda s, d: ct.top_k(table(s, d, "events"), "user_id", 20))
 query("heavy_hitters", "SELECT event_type, count(*) AS cnt FROM events GROUP BY event_type HAVING count(*) >= 0.1 * (SELECT count(*) FROM events)")(lambda s, d: ct.heavy_hitters(table(s, d, "events"), "event_type", 0.1))
 query("running_count", "SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS seen FROM events")(lambda s, d: ct.running_count(table(s, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "seen"))
 query("decayed_count", "SELECT event_type, round(sum(pow(0.5, event_id / 1000.0)), 6) AS weight FROM events GROUP BY event_type")(lambda s, d: ct.decayed(table(s, d, "events"), "event_type", "event_id", 1000.0))
-query("morris_counter")(lambda s, d: ct.morris(table(s, d, "events"), "user_id", ["ts", "event_id"]))
 query("sliding_last_n", "SELECT event_type, user_id, count(*) AS cnt FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500) GROUP BY ALL")(lambda s, d: ct.last_n(table(s, d, "events"), "user_id", ["ts", "event_id"], 500, "event_type"))
 
 GRAMS = "SELECT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS gram FROM (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS t FROM documents)"
@@ -234,7 +239,7 @@ def quantities(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("k")).agg(F.sum("l_quantity").cast("bigint").alias("w"))
 
 
-query("weighted_hist_intersection", f"WITH {LW}, t AS (SELECT g, sum(w) AS t FROM c GROUP BY g), s AS (SELECT a.g AS i, b.g AS j, sum(least(a.w, b.w)) AS isect, sum(a.w * b.w) AS dot FROM c a JOIN c b USING (k) WHERE a.g < b.g GROUP BY ALL) SELECT i, j, isect::BIGINT AS isect, (x.t + y.t - isect)::BIGINT AS unite, round(isect / (x.t + y.t - isect), 6) AS jaccard, dot::BIGINT AS dot FROM s JOIN t x ON x.g = i JOIN t y ON y.g = j")(
+query("weighted_hist_intersection", f"WITH {LW}, t AS (SELECT g, sum(w) AS t FROM c GROUP BY g), {ALL('c', 'g')}, s AS (SELECT i, j, sum(CASE WHEN b.w IS NULL THEN 0 ELSE least(a.w, b.w) END) AS isect, sum(a.w * coalesce(b.w, 0)) AS dot FROM q_ JOIN c a ON a.g = i LEFT JOIN c b ON b.g = j AND b.k = a.k GROUP BY ALL) SELECT i, j, isect::BIGINT AS isect, (x.t + y.t - isect)::BIGINT AS unite, round(isect / (x.t + y.t - isect), 6) AS jaccard, dot::BIGINT AS dot FROM s JOIN t x ON x.g = i JOIN t y ON y.g = j")(
     lambda s, d: sm.weighted_pairs(quantities(s, d), "g", "k", "w")
 )
 query("icws_samples")(lambda s, d: sm.icws(quantities(s, d), "g", "k", "w", 32))
@@ -275,9 +280,6 @@ def _roundtrip(s, d):
     return s.read.parquet(path)
 
 
-query("native_hll", None)(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("estimate")))
-
-
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _stream(s, d):
     from gistra.streaming.windows import tumbling

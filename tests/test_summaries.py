@@ -63,7 +63,7 @@ def test_point_counts(spark):
     df = spark.range(20000).select(F.when(F.col("id") < 1004, 137).otherwise(F.col("id")).alias("k"))
     one = spark.createDataFrame([(137,)], "k long")
     assert ct.count_min_estimate(one, "k", ct.count_min(df, "k", 4, 4096), 4, 4096).first()["estimate"] >= 1004
-    assert abs(ct.count_sketch_estimate(one, "k", ct.count_sketch(df, "k", 7, 4096), 7, 4096).first()["estimate"] - 1004) < 10
+    assert abs(ct.signed_estimate(one, "k", ct.signed_counts(df, "k", 7, 4096), 7, 4096).first()["estimate"] - 1004) < 10
     assert ct.top_k(df, "k", 1).first()["k"] == 137
     assert [r["k"] for r in ct.heavy_hitters(df, "k", 0.01).collect()] == [137]
 
