@@ -6,16 +6,14 @@ subsets of the lexicon those in the subset are hashed. Subsets of several densit
 documents. The likeness of two fingerprints is the share of equal hashes at the density where it is largest,
 among the subsets that aren't empty for both (at least ``LEAST`` of them; else over all densities).
 
-A document with fewer than ``FEW`` terms in the band keeps all its terms instead.
-
 Scale: term counts are pre-aggregated in each task, then summed by term. A term of the lexicon is in
 ``LOW`` of all documents or more, so the lexicon has at most (mean distinct terms of a document) / LOW
 terms, however large the corpus is: that is what is broadcast.
 Neighbours by id come from one range shuffle; only the last row of each range meets another range's first,
 two rows for a range.
 
-Defined cases: null texts are empty; texts without terms have an empty fingerprint, and two of them have
-likeness 1; equal texts have equal fingerprints; equal ids are ordered by a hash of the text, null ids come
+Defined cases: null texts are empty; texts without terms in the band have an empty fingerprint, and two of
+them have likeness 1; equal texts have equal fingerprints; equal ids are ordered by a hash of the text, null ids come
 first; extra columns are dropped.
 """
 
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 from gistra.llm.text import column, slices
 from gistra.staging import cut, release
 
-LOW, HIGH, FEW = 0.004, 0.2, 5
+LOW, HIGH = 0.004, 0.2
 LEVELS, SEEDS, LEAST = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 8, 3
 FLUSH_TERMS, CACHE_WORDS = 400_000, 400_000
 
@@ -103,8 +101,9 @@ class Maker:
         terms = self.hashes.of(text)
         if len(terms) and len(self.words):
             at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
-            kept = terms[self.words[at] == terms]
-            terms = kept if len(kept) >= FEW else terms
+            terms = terms[self.words[at] == terms]
+        else:
+            terms = terms[:0]
         if not len(terms):
             return np.zeros(len(self.seeds), ">u4")
         inside = _mixed(terms.view(np.uint64)[None, :] ^ self.seeds[:, None]) < self.limits[:, None]
@@ -172,8 +171,12 @@ def fingerprint_neighbours(docs: DataFrame, words: np.ndarray, id_col: str = "do
     # two rows for each range: its first and its last
     edges = done.filter("edge > 0").select(F.col(id_col).alias("id"), "edge", "part", "text")
     first = edges.filter("edge = 1").orderBy("part").limit(1).select(F.col("text").alias("very_first"))
-    after = F.lead("text").over(Window.orderBy("part", "edge"))
-    open_ends = edges.withColumn("following", after).filter("edge = 2").crossJoin(F.broadcast(first)).select("id", "text", F.coalesce("following", "very_first").alias("following"))
+    # numbers of ranges are put in order, texts are joined to them
+    order = Window.orderBy("part", "edge")
+    after = edges.select("part", "edge").withColumn("next", F.lead("part").over(order)).filter("edge = 2").select(F.col("part").alias("own"), "next")
+    heads = edges.filter("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    ends = edges.filter("edge = 2").withColumnRenamed("part", "own").join(after, "own").join(heads, "next", "left")
+    open_ends = ends.crossJoin(F.broadcast(first)).select("id", "text", F.coalesce("following", "very_first").alias("following"))
 
     def close(batches):
         maker = Maker(shared.value)

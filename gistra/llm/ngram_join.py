@@ -477,16 +477,16 @@ def with_keys(docs: DataFrame, terms: Terms, text_col: str, name: str) -> DataFr
 def keep_one(docs: DataFrame, terms: Terms = Terms(5, 80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, of its smallest id (of several by a hash of the row). Rows without
     words have no component: all stay, except repetitions in all columns. Rows with a null id stay."""
+    key, i, k, n, comp, least, row, turn, away = ensure_unique(docs.columns, ["key_", "id_", "k_", "n_", "comp_", "least_", "row_", "turn_", "gone"]).values()
     named = cut(labelled(docs.filter(F.col(id_col).isNotNull()), terms, id_col, text_col), "labelled")
-    gone = named.filter("id <> least").select(F.col("id").alias("gone"))
-    repeated = cut(named.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias("gone")), "repeated")
+    gone = named.filter("id <> least").select(F.col("id").alias(away))
+    repeated = cut(named.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias(away)), "repeated")
     if not repeated.limit(1).count():
-        return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+        return docs.join(gone, docs[id_col] == F.col(away), "left_anti")
     # an id doesn't tell its rows apart: they are known by id and class
-    single = docs.join(gone.unionByName(repeated), docs[id_col] == F.col("gone"), "left_anti")
-    key, i, k, n, comp, least, row, turn = ensure_unique(docs.columns, ["key_", "id_", "k_", "n_", "comp_", "least_", "row_", "turn_"]).values()
-    kinds = named.join(repeated, F.col("id") == F.col("gone"), "left_semi").select(F.col("id").alias(i), F.col("key").alias(k), F.col("n").alias(n), F.col("comp").alias(comp), F.col("least").alias(least)).distinct()
-    several = with_keys(docs.join(repeated, docs[id_col] == F.col("gone"), "left_semi"), terms, text_col, key)
+    single = docs.join(gone.unionByName(repeated), docs[id_col] == F.col(away), "left_anti")
+    kinds = named.join(repeated, F.col("id") == F.col(away), "left_semi").select(F.col("id").alias(i), F.col("key").alias(k), F.col("n").alias(n), F.col("comp").alias(comp), F.col("least").alias(least)).distinct()
+    several = with_keys(docs.join(repeated, docs[id_col] == F.col(away), "left_semi"), terms, text_col, key)
     placed = several.join(kinds, (F.col(id_col) == F.col(i)) & (F.col(key) == F.col(k))).filter(F.col(i) == F.col(least)).withColumn(row, F.to_json(F.struct(*docs.columns)))
     same = Window.partitionBy(comp, F.when(F.col(n) == 0, F.col(i)), F.when(F.col(n) == 0, F.col(row))).orderBy(F.xxhash64(row))
     return single.unionByName(placed.withColumn(turn, F.row_number().over(same)).filter(F.col(turn) == 1).select(*docs.columns))

@@ -7,12 +7,12 @@ shrinks to the smallest permitted length that holds its contents.
 
 Units are UTF-8 bytes, the tokens of a byte-level model, unless a length column is given.
 
-Scale: the items (id and length, no text) are written once and dealt by a hash of their row number to
-shards of about ``SHARD_UNITS`` units, so that the number of shards grows with the corpus and a shard never
-does, whatever repeats. A shard wastes one partly filled bin at most, and that one shrinks too.
+Scale: the items (id and length, no text) are written once and dealt by a hash of id, text and how often both
+came before to shards of about ``SHARD_UNITS`` units, so that the number of shards grows with the corpus and a shard never
+does, whatever repeats, and equal tables are packed alike whatever their files and partitions. A shard wastes one partly filled bin at most, and that one shrinks too.
 
-Defined cases: empty and null texts are pieces of length 0 and take no room; repeated rows are packed each
-for itself; ties go to the earlier bin; an empty table gives no rows; extra columns are dropped.
+Defined cases: empty and null texts are pieces of length 0 and take no room; null ids are packed as any; repeated
+rows are packed each for itself; ties go to the earlier bin; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -57,8 +57,10 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc_i
     """Pieces in bins: id, piece_start, piece_len, bin_id, bin_offset and bin_len (all in units)."""
     top = max(lengths)
     size = F.coalesce(F.col(length_col).cast("long") if length_col else F.octet_length(text_col).cast("long"), F.lit(0).cast("long"))
-    items = cut(docs.select(F.col(id_col).alias("id"), size.alias("n")).withColumn("row", F.monotonically_increasing_id()), "items")
-    sums = items.agg(F.sum("n").alias("units"), F.count("*").alias("rows"), F.sum(F.greatest(F.ceil(F.col("n") / top), F.lit(1))).alias("pieces")).first()
+    # rows that are the same can be told apart by a number only: they are counted and spread again
+    kinds = docs.select(F.col(id_col).alias("id"), size.alias("n"), F.xxhash64(text_col).alias("h")).groupBy("id", "n", "h").agg(F.count("*").alias("rows"))
+    items = cut(kinds.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("id", "n", F.xxhash64("id", "h", "turn").alias("row")), "items")
+    sums = items.agg(F.sum("n").alias("units"), F.sum(F.greatest(F.ceil(F.col("n") / top), F.lit(1))).alias("pieces")).first()
     shards = max(1, -(-(sums["units"] or 0) // shard_units), -(-(sums["pieces"] or 0) // SHARD_ROWS))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(top).cast("long")))
     pieces = items.select("id", "row", "n", starts.alias("start")).withColumn("len", F.least(F.col("n") - F.col("start"), F.lit(top)))

@@ -7,8 +7,9 @@ space, so words never seen in training still say how they are written. A documen
 tokens' vectors; the network reads it standardised, and its temperature is fitted on a part of the sample
 that the weights have not seen.
 
-Fitting takes at most ``per_class`` labelled rows of each class (documented bound); every whole text is
-scored in one narrow pass without shuffle, with a bounded cache of word rows.
+Fitting takes at most ``per_class`` labelled rows of each class (documented bound). Words that come ``SEEN`` times
+or more in that sample have vectors of their own, however many they are; any other token is its shape. Every whole
+text is scored in one narrow pass without shuffle, with a bounded cache of word rows.
 
 Defined cases: texts without tokens are scored as the zero vector; without rows of both classes to learn
 from every score is 0; input columns stay (new ones get a leading underscore on a name clash).
@@ -31,7 +32,7 @@ from gistra.llm.text import column, ensure_unique, slices
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 PER_CLASS = 1500
-DIM, NONZERO, REACH, UNITS, VOCAB = 32, 4, 2, 16, 20_000
+DIM, NONZERO, REACH, UNITS, SEEN = 32, 4, 2, 16, 5
 CACHE_WORDS = 300_000
 SLICE = 1 << 20
 SHAPES = ["<lower>", "<title>", "<upper>", "<digit>", "<symbol>"]
@@ -62,8 +63,7 @@ class Space:
 
     def __init__(self, texts: list[list[str]]):
         count = Counter(t.lower() for ts in texts for t in ts)
-        words = sorted(count, key=lambda w: (-count[w], w))[:VOCAB]
-        words = [w for w in words if count[w] >= 5]
+        words = sorted(w for w in count if count[w] >= SEEN)
         self.vocab = {w: i + 1 for i, w in enumerate(words)}
         self.shapes = np.array([index_vector(s) for s in SHAPES])
         self.repeat = index_vector(REPEAT)

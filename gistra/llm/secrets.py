@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -105,8 +106,9 @@ class Scanner:
         found = self.byte_spans(data)
         if not found or data.isascii():
             return [(a, self.rules[k].kind, b) for a, k, b in found]
-        at = lambda i: len(data[:i].decode("utf-8", "replace"))
-        return [(at(a), self.rules[k].kind, at(b)) for a, k, b in found]
+        # code points before each byte, in one pass: all but continuation bytes begin one
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        return [(int(before[a]), self.rules[k].kind, int(before[b])) for a, k, b in found]
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:

@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, source string, n string, key string"
 
 
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t, None if i % 3 else "a", "x", "y") for i, t in texts], DOCS)
+    return spark.createDataFrame([(i, t, None if (i or 0) % 3 else "a", "x", "y") for i, t in texts], DOCS)
 
 
 ODD = [(1, None), (2, ""), (3, "one two"), (4, "one two"), (5, "word " * 60_000), (6, "é" * 33)]
@@ -299,6 +299,122 @@ def test_packing(spark):
     assert got.filter("doc_id IN (1, 2)").count() == 2 and packing.pack(docs(spark, ODD).filter("false")).count() == 0
 
 
+def test_spans_of_long_texts_in_code_points():
+    t = ("é" * 50_000 + " password=abcdefgh12 ") * 40
+    spans = secrets.Scanner().spans(t.encode())
+    assert [t[a:b] for a, _, b in spans] == ["password=abcdefgh12"] * 40
+
+
+def test_equal_tables_pack_alike(spark):
+    rows = [*ODD, ODD[4], ODD[2], ODD[2], (None, "no id"), *((i, "x" * (i * 37 % 3000)) for i in range(10, 200))]
+    packs = [sorted(map(tuple, packing.pack(docs(spark, r).repartition(k), shard_units=100_000).collect()), key=str) for r, k in ((rows, 1), (rows[::-1], 7))]
+    assert packs[0] == packs[1] and sum(r[2] for r in packs[0]) == sum(len((t or "").encode()) for _, t in rows)
+
+
+def test_packing_leaves_little_room(spark):
+    """Against the total and against a packer that opens the largest bin for each piece that fits nowhere."""
+    r = random.Random(8)
+    for _ in range(20):
+        sizes = [min(16384, int(r.paretovariate(0.7) * 100)) for _ in range(300)]
+        _, _, final = packing.best_fit(sizes)
+        plain = []
+        for n in sizes:
+            k = next((k for k, free in enumerate(plain) if free >= n), None)
+            if k is None:
+                plain.append(16384)
+                k = len(plain) - 1
+            plain[k] -= n
+        assert sum(sizes) <= sum(final) <= 16384 * len(plain)
+
+
+def test_fingerprints_against_brute_force(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choice(words[: r.choice([5, 300])]) for _ in range(r.choice([0, 1, 3, 40, 200])))) for i in range(80)] + [(80, None), (81, "W1 w1"), (None, "w2 w3")]
+    df = docs(spark, rows).repartition(5)
+    lexicon = fingerprints.lexicon(df, low=0.02, high=0.5)
+    sets = [set(re.findall(r"[^\W_]+", (t or "").lower())) for _, t in rows]
+    count = {w: sum(w in s for s in sets) for w in set().union(*sets)}
+    band = {w for w, n in count.items() if max(2, 0.02 * len(rows)) <= n <= 0.5 * len(rows)}
+    hashed = lambda w: fingerprints.Hashes()[w]
+    assert sorted(map(hashed, band)) == lexicon.tolist()
+
+    def print_of(text):
+        own = np.array(sorted(hashed(w) for w in set(re.findall(r"[^\W_]+", text.lower())) & band), np.int64)
+        out = []
+        for k in range(len(fingerprints.LEVELS) * fingerprints.SEEDS):
+            seed = np.uint64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))
+            limit = int(fingerprints.LEVELS[k // fingerprints.SEEDS] * (1 << 53)) << 11
+            kept = [h for h in own if int(fingerprints._mixed((np.array([h]).view(np.uint64) ^ seed))[0]) < limit]
+            out.append((fingerprints.xxhash.xxh32_intdigest(np.array(kept, np.int64).tobytes()) or 1) if kept else 0)
+        return np.array(out, ">u4")
+
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    got = {x["doc_id"]: x for x in fingerprints.fingerprint_neighbours(df, lexicon).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        a, b, c = print_of(t), print_of(fingerprints.edited(t, following)), print_of(following)
+        assert got[i]["fingerprint"] == a.tobytes().hex() and got[i]["edited_fingerprint"] == b.tobytes().hex()
+        for name, other in (("near_edited", b), ("near_next", c)):
+            if (a == other).all():
+                want = 1.0
+            else:
+                shares = []
+                for lv in range(len(fingerprints.LEVELS)):
+                    at = range(lv * fingerprints.SEEDS, (lv + 1) * fingerprints.SEEDS)
+                    filled = [x for x in at if a[x] or other[x]]
+                    shares.append((sum(a[x] == other[x] for x in filled), len(filled)))
+                want = max([e / n for e, n in shares if n >= fingerprints.LEAST] + [sum(e for e, _ in shares) / sum(n for _, n in shares)])
+            assert abs(got[i][name] - want) < 1e-12
+
+
+def test_empty_tables_and_clashing_names(spark):
+    none = docs(spark, []).withColumns({"toxicity": F.lit(1.0), "quality": F.lit(1.0), "gone": F.lit(1), "spans": F.lit(""), "rows": F.lit(1)})
+    some = docs(spark, ODD).withColumns({"toxicity": F.lit(1.0), "quality": F.lit(1.0), "gone": F.lit(1), "spans": F.lit(""), "rows": F.lit(1)})
+    tox, good = toxicity.fit([("bad words here", 1), ("fine words here", 0)] * 5), quality.fit([("bad words here", 0), ("fine words here", 1)] * 5)
+    for df, n in ((none, 0), (some, len(ODD))):
+        assert toxicity.score_documents(df, tox).count() == quality.score_documents(df, good).count() == n
+        assert media.media_columns(df).count() == secrets.find_secrets(df).count() == n
+        assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == n
+        kept = ngram_join.keep_one(df)
+        assert kept.columns == df.columns and kept.count() == max(0, n - 1)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on what the one before it kept; odd texts, repeated rows and clashing names included."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    clean = lambda n: " ".join(r.choice(["river", "stone", "cloud", "meadow", "lantern", "harbor", "winter"]) + str(r.randint(0, 99)) for _ in range(n))
+    rows = [(i, clean(40), "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(100 + i, f"{clean(12)} vilest scum idiots {clean(12)} vilest scum idiots", "en", "s0", 0) for i in range(40)]
+    rows += [(200 + i, rows[i][1] + " tail", "en", "s1", 0) for i in range(10)] + [(300, "token=abcdefgh1234 " + clean(30), "en", "s2", 0), (301, None, None, None, None), (302, "", "en", "s2", 0), rows[0]]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame(rows, kind)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(100 <= i < 140)) for i in [*range(60), *range(100, 140)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, sf_dir = dict(corpus_pipeline.STAGES), str(tmp_path)
+    ids = lambda df: sorted(x["doc_id"] for x in df.select("doc_id").collect())
+
+    kept = stages["toxicity"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert kept.columns == table.columns and ids(kept) == sorted(i for i, *_ in rows if not 100 <= i < 140)
+    apart = stages["ngram_jaccard_join"](spark, kept.cache(), sf_dir)
+    assert apart.columns == table.columns and ids(apart) == [*range(60), 300, 301, 302]
+    safe = stages["secret_scans"](spark, apart.cache(), sf_dir).cache()
+    texts = {x["doc_id"]: (x["text"], x["n_chars"]) for x in safe.collect()}
+    assert texts[300][0].startswith("[secret] ") and texts[301] == (None, None) and all(n == len(t) for i, (t, n) in texts.items() if t is not None)
+    mixed = stages["source_mixing"](spark, safe, sf_dir).cache()
+    assert mixed.columns == table.columns and set(ids(mixed)) <= set(ids(safe)) and mixed.count() > 20
+    packed = stages["best_fit_packing"](spark, mixed, sf_dir)
+    sizes = {x["doc_id"]: x["n"] for x in mixed.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
+    assert {x["doc_id"]: x["n"] for x in packed.groupBy("doc_id").agg(F.sum("piece_len").alias("n")).collect()} == sizes
+    assert packed.filter("bin_offset + piece_len > bin_len").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table.filter("false"), sf_dir)
+        assert out.count() == 0, name
+
+
 def test_fingerprints(spark):
     rows = docs(spark, [*ODD, (7, "one two")])
     words = fingerprints.lexicon(rows, low=0.0, high=1.0)
