@@ -103,8 +103,8 @@ def polynomial(c: Column, coefficients: list[int]) -> Column:
 def bit_facts(c: Column) -> dict[str, Column]:
     """Of a positive whole number: leading and trailing zeros, first set bit, set bits, whole log2, next power of two, whether it is one, and the mask that covers it."""
     digits = F.length(F.bin(c))
-    trailing = digits - F.length(F.rtrim(F.lit("0"), F.bin(c)))
-    top = F.shiftleft(F.lit(1).cast("bigint"), digits.cast("int"))
+    trailing = digits - F.length(F.rtrim(F.bin(c), F.lit("0")))
+    top = F.call_function("shiftleft", F.lit(1).cast("bigint"), digits.cast("int"))
     power = F.bit_count(c) == 1
     return {"clz": 64 - digits, "ctz": trailing, "ffs": trailing + 1, "popcount": F.bit_count(c), "ilog2": digits - 1, "roundup": F.when(power, c).otherwise(top), "is_pow2": power, "bitmask": top - 1}
 

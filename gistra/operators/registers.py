@@ -131,7 +131,7 @@ def estimate_by(table: DataFrame, groups: list[str], p: int, method: str) -> Dat
             out.append(solve(c, p, q))
         return pd.Series(out)
 
-    return bins.select(*groups, solved("bins").alias("estimate"))
+    return bins.select(*groups, F.round(solved("bins"), 4).alias("estimate"))
 
 
 def comparisons(table: DataFrame, group: str, p: int) -> DataFrame:

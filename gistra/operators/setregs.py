@@ -102,7 +102,7 @@ def joint_likelihood(table: DataFrame, group: str, m: int, b: float, a: float) -
         return pd.Series([likeliest_jaccard(int(p), int(q), m, u, v, b) for p, q, u, v in zip(gt, lt, x, y)])
 
     t = pr.sided(integer_cardinality(table, group, m, b, a), group, pr.compared(table, group), ["estimate"])
-    return t.select("i", "j", solved("gt", "lt", "estimate_i", "estimate_j").alias("jaccard"))
+    return t.select("i", "j", F.round(solved("gt", "lt", "estimate_i", "estimate_j"), 4).alias("jaccard"))
 
 
 def optimal_base(table: DataFrame, groups: list[str], q: int) -> DataFrame:

@@ -73,10 +73,19 @@ def heavy(s, d, where="true"):
     return fq.decaying_cells(table(s, d, "events").filter(where), "user_id", "event_id")
 
 
-query("heavy_keeper_cells")(heavy)
-query("heavy_keeper_point")(lambda s, d: fq.decaying_estimate(table(s, d, "events"), "user_id", heavy(s, d)))
-query("heavy_keeper_merge")(lambda s, d: fq.decaying_merge(heavy(s, d, EVEN), heavy(s, d, ODD)))
-query("heavy_keeper_topk")(lambda s, d: fq.decaying_estimate(table(s, d, "events"), "user_id", heavy(s, d)).orderBy(F.desc("estimate"), hx.h60("user_id"), "user_id").limit(20))
+def HKC(name, where="true"):
+    """A cell's rows in order, and its state after each of them."""
+    at = H("user_id::VARCHAR || '/' || event_id::VARCHAR || '/' || x::VARCHAR", "coin")
+    return f"""r_{name} AS (SELECT x AS row, {HS('user_id', 'x')} % 512 AS bucket, {H('user_id')} & 65535 AS fp, {UNIT(at)} AS u, row_number() OVER (PARTITION BY x, {HS('user_id', 'x')} % 512 ORDER BY event_id) AS i FROM events CROSS JOIN range(0, 2) t(x) WHERE user_id IS NOT NULL AND {where}),
+ s_{name} AS (SELECT row, bucket, i, fp, 1::BIGINT AS cnt FROM r_{name} WHERE i = 1 UNION ALL SELECT s.row, s.bucket, r.i, CASE WHEN r.fp <> s.fp AND r.u < pow(1.08, -s.cnt) AND s.cnt = 1 THEN r.fp ELSE s.fp END, CASE WHEN r.fp = s.fp THEN s.cnt + 1 WHEN r.u < pow(1.08, -s.cnt) AND s.cnt > 1 THEN s.cnt - 1 ELSE s.cnt END FROM s_{name} s JOIN r_{name} r ON r.row = s.row AND r.bucket = s.bucket AND r.i = s.i + 1),
+ {name} AS (SELECT row::INTEGER AS row, bucket::INTEGER AS bucket, arg_max(fp, i) AS fp, arg_max(cnt, i) AS cnt FROM s_{name} GROUP BY s_{name}.row, s_{name}.bucket)"""
+
+
+HKP = f"SELECT user_id, max(coalesce(cnt, 0)) AS estimate FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) CROSS JOIN range(0, 2) t(x) LEFT JOIN h ON h.row = x AND h.bucket = {HS('user_id', 'x')} % 512 AND h.fp = {H('user_id')} & 65535 GROUP BY user_id"
+query("heavy_keeper_cells", f"WITH RECURSIVE {HKC('h')} SELECT * FROM h")(heavy)
+query("heavy_keeper_point", f"WITH RECURSIVE {HKC('h')} {HKP}")(lambda s, d: fq.decaying_estimate(table(s, d, "events"), "user_id", heavy(s, d)))
+query("heavy_keeper_merge", f"WITH RECURSIVE {HKC('a', EVEN)}, {HKC('b', ODD)}, m AS (SELECT row, bucket, fp, sum(cnt) AS cnt FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL), k AS (SELECT *, coalesce(lead(cnt) OVER w, 0) AS other, row_number() OVER w AS rk FROM m WINDOW w AS (PARTITION BY row, bucket ORDER BY cnt DESC, fp)) SELECT row, bucket, fp, (cnt - other)::BIGINT AS cnt FROM k WHERE rk = 1 AND cnt > other")(lambda s, d: fq.decaying_merge(heavy(s, d, EVEN), heavy(s, d, ODD)))
+query("heavy_keeper_topk", f"WITH RECURSIVE {HKC('h')}, p AS ({HKP}) SELECT user_id, estimate FROM p ORDER BY estimate DESC, {H('user_id')}, user_id LIMIT 20")(lambda s, d: fq.decaying_estimate(table(s, d, "events"), "user_id", heavy(s, d)).orderBy(F.desc("estimate"), hx.h60("user_id"), "user_id").limit(20))
 K61 = [1234567890123456789, 987654321987654321, 1111111111111111111, 424242424242424242]
 POLY = "{0}::HUGEINT".format(K61[0])
 for _k in K61[1:]:
@@ -182,11 +191,44 @@ query("random_ids", f"SELECT id, {H('id', 'random7')} AS h FROM range(0, 1000) t
 query("hash_ngram_list", f"WITH t AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS t FROM benchmark), g AS (SELECT item_id, generate_subscripts(t, 1) AS i, t FROM t) SELECT item_id, (i - 1)::INTEGER AS pos, {H('array_to_string(t[i:i + 2], chr(32))')} AS h FROM g WHERE i <= len(t) - 2")(lambda s, d: table(s, d, "benchmark").select("item_id", F.posexplode(hx.ngrams(hx.tokens(F.col("text")), 3)).alias("pos", "gram")).select("item_id", "pos", hx.h60("gram").alias("h")))
 query("seeded_hashes", f"SELECT c_custkey, x::INTEGER AS seed, {HS('c_custkey', 'x')} AS h FROM customer CROSS JOIN range(0, 3) t(x)")(lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed")).withColumn("h", hx.h60_seeded(F.col("c_custkey"), F.col("seed"))))
 
+# SQL of queries that stand in the catalogue
+D32 = "x::HUGEINT"
+QUAL = "QUALIFY row_number() OVER (PARTITION BY g, x ORDER BY a) = 1"
+WZ = f"p AS (SELECT vec_id, r::INTEGER AS row, ({HS('idx', 'r')} % 16)::INTEGER AS bucket, round(sum((CASE WHEN {HS('idx', 'r + 1000')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * x / pow(-ln({UNIT(HS('idx', chr(39) + 'e' + chr(39)))}), 0.5)), 6) AS s FROM e CROSS JOIN range(0, 3) t(r) GROUP BY ALL)"
+BINS = f"{cat.EV}, b AS (SELECT event_type, val, count(*)::DOUBLE AS c FROM r GROUP BY ALL UNION ALL SELECT event_type, 0, {cat.M} - count(*) FROM r GROUP BY event_type)"
+
+
+def _two(a, b):
+    """Gamma(2, 1) of a key and slot."""
+    return f"(-ln({UNIT(HS('k', chr(39) + a + chr(39) + ' || x'))}) - ln({UNIT(HS('k', chr(39) + b + chr(39) + ' || x'))}))"
+
+
+ORDERED = "t AS (SELECT {id}, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS t FROM {src}), w AS (SELECT {id}, generate_subscripts(t, 1) AS pos, unnest(t) AS word FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY {id}, word ORDER BY pos) AS occ FROM w), k AS (SELECT {id}, x, pos, word FROM o CROSS JOIN range(0, 8) s(x) QUALIFY row_number() OVER (PARTITION BY {id}, x ORDER BY {h}, pos) <= 3), r AS (SELECT {id}, x, string_agg(word, ' ' ORDER BY pos) AS run FROM k GROUP BY ALL) SELECT {id}, x::INTEGER AS slot, {v} AS val FROM r"
+cat.ORACLES.update(
+    wang_hash=f"SELECT c_custkey, {_signed(D32)} AS hash FROM ({_steps(f'({ONES} - x + x * 2097152) % {WRAP}', _xs(24), f'(x * 265) % {WRAP}', _xs(14), f'(x * 21) % {WRAP}', _xs(28), f'(x * 2147483649) % {WRAP}', start='c_custkey::UHUGEINT')})",
+    cs_recover=f"WITH {cat.EM}, p AS (SELECT vec_id, r AS row, {HS('idx', 'r')} % 16 AS bucket, round(sum(CASE WHEN {HS('idx', 'r + 1000')} % 2 = 0 THEN x ELSE -x END), 6) AS s FROM e CROSS JOIN range(0, 3) t(r) GROUP BY ALL) SELECT e.vec_id, idx, round(median(CASE WHEN {HS('idx', 't.r + 1000')} % 2 = 0 THEN s ELSE -s END), 6) AS estimate FROM e CROSS JOIN range(0, 3) t(r) JOIN p ON p.vec_id = e.vec_id AND p.row = t.r AND p.bucket = {HS('idx', 't.r')} % 16 GROUP BY ALL",
+    wz_project=f"WITH {cat.EM}, {WZ} SELECT * FROM p",
+    icws_samples=f"WITH {LW}, s AS (SELECT g, k, x, {_two('a', 'b')} AS r, {_two('c', 'd')} AS c, {UNIT(HS('k', chr(39) + 'e' + chr(39) + ' || x'))} AS beta, w FROM c CROSS JOIN range(0, 32) s(x) WHERE w > 0), t AS (SELECT *, floor(ln(w) / r + beta)::BIGINT AS t FROM s), a AS (SELECT *, c / exp(r * (t - beta + 1)) AS a FROM t) SELECT g, x::INTEGER AS slot, k AS key, t FROM a {QUAL}",
+    order_minhash="WITH " + ORDERED.format(id="item_id", src="benchmark", h=HS("word || '#' || occ::VARCHAR", "x"), v=H("run")),
+    oph_densify=f"WITH {cat.WORDS}, {cat.OP}, q AS (SELECT DISTINCT source FROM o), f AS (SELECT q.source, r.r AS reg, t.t, CASE WHEN t.t = 0 THEN r.r ELSE {H('r.r::VARCHAR || chr(47) || t.t::VARCHAR')} % 128 END AS slot FROM q CROSS JOIN range(0, 128) r(r) CROSS JOIN range(0, 65) t(t)), g AS (SELECT f.source, f.reg, arg_min(o.val, f.t) FILTER (o.val IS NOT NULL) AS val FROM f LEFT JOIN o ON o.source = f.source AND o.reg = f.slot GROUP BY ALL), n AS (SELECT o.source, r.r AS reg, arg_min(o.val, (o.reg - r.r + 128) % 128) AS val FROM o CROSS JOIN range(0, 128) r(r) GROUP BY ALL) SELECT g.source, g.reg::INTEGER AS reg, coalesce(g.val, n.val) AS val FROM g JOIN n ON n.source = g.source AND n.reg = g.reg",
+    hll_estimate_improved=f"WITH {BINS}, z AS (SELECT event_type, sum(CASE WHEN val BETWEEN 1 AND 50 THEN c * pow(2.0, -val) ELSE 0 END) AS s, sum(CASE WHEN val = 0 THEN c ELSE 0 END) / {cat.M} AS x0, 1 - sum(CASE WHEN val = 51 THEN c ELSE 0 END) / {cat.M} AS x1 FROM b GROUP BY event_type), y AS (SELECT event_type, s, x0 + (SELECT sum(pow(x0, pow(2.0, i)) * pow(2.0, i - 1)) FROM range(1, 60) t(i)) AS sigma, (1 - x1 - (SELECT sum(pow(1 - pow(x1, pow(2.0, -i)), 2) * pow(2.0, -i)) FROM range(1, 60) t(i))) / 3 AS tau FROM z) SELECT event_type, round({cat.M} * {cat.M} / (2 * ln(2) * (s + {cat.M} * tau * pow(2.0, -50) + {cat.M} * sigma)), 4) AS estimate FROM y",
+    hll_estimate_mle=f"WITH RECURSIVE {BINS}, w AS (SELECT event_type, val, c, pow(2.0, -least(val, 50)) / {cat.M} AS w FROM b), s(event_type, lo, hi, i) AS (SELECT DISTINCT event_type, 1e-6::DOUBLE, 1e9::DOUBLE, 0 FROM w UNION ALL SELECT s.event_type, CASE WHEN sum(CASE WHEN val > 0 THEN c * w / (exp((lo + hi) / 2 * w) - 1) ELSE 0 END) > sum(CASE WHEN val <= 50 THEN c * w ELSE 0 END) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sum(CASE WHEN val > 0 THEN c * w / (exp((lo + hi) / 2 * w) - 1) ELSE 0 END) > sum(CASE WHEN val <= 50 THEN c * w ELSE 0 END) THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM s JOIN w ON w.event_type = s.event_type WHERE i < 100 GROUP BY s.event_type, lo, hi, i) SELECT event_type, round((lo + hi) / 2, 4) AS estimate FROM s WHERE i = 100",
+)
+
+cat.ORACLES["order_minhash_documents"] = "WITH " + ORDERED.format(id="doc_id", src="documents", h=HS("word || '#' || occ::VARCHAR", "x"), v=H("run"))
+CONS = f"""t AS (SELECT user_id AS k, count(*) AS w, {H('user_id')} AS h, [{', '.join(f'{256 * r} + ' + HS('user_id', str(r)) + ' % 256' for r in range(4))}] AS pos FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+ r AS (SELECT *, h % 16 AS shard, row_number() OVER (PARTITION BY h % 16 ORDER BY h) AS i FROM t),
+ s AS (SELECT DISTINCT shard, 0::BIGINT AS i, list_transform(range(0, 1024), lambda x: 0::BIGINT) AS c FROM r UNION ALL SELECT shard, i, list_transform(c, lambda x, p: CASE WHEN list_contains(pos, p - 1) THEN greatest(x, m) ELSE x END) FROM (SELECT s.shard, r.i, c, pos, list_min(list_transform(pos, lambda a: c[a + 1])) + w AS m FROM s JOIN r ON r.shard = s.shard AND r.i = s.i + 1)),
+ f AS (SELECT shard, arg_max(c, i) AS c FROM s GROUP BY shard), u AS (SELECT generate_subscripts(c, 1) - 1 AS p, unnest(c) AS x FROM f), cc AS (SELECT (p // 256)::INTEGER AS row, (p % 256)::INTEGER AS bucket, sum(x)::BIGINT AS cnt FROM u WHERE x > 0 GROUP BY ALL)"""
+cat.ORACLES["cm_conservative"] = f"WITH RECURSIVE {CONS} SELECT * FROM cc"
+cat.ORACLES["cm_conservative_point"] = f"WITH RECURSIVE {CONS} SELECT user_id, min(coalesce(cnt, 0)) AS estimate FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) CROSS JOIN range(0, 4) t(x) LEFT JOIN cc ON cc.row = x AND cc.bucket = {HS('user_id', 'x')} % 256 GROUP BY user_id"
+
 # vectors
 PS = f"SELECT vec_id, t::INTEGER AS t, round(sum(x * greatest(-30000.0, least(30000.0, tan({math.pi!r} * ({UNIT(HS('idx', 't'))} - 0.5))))), 6) AS s FROM e CROSS JOIN range(0, 15) r(t)"
 query("pstable_table", f"WITH {cat.EM} {PS} GROUP BY ALL")(lambda s, d: vc.cauchy_sums(cat.entries(s, d), "vec_id", 15))
-query("pstable_merge", f"WITH {cat.EM} {PS} GROUP BY ALL")(lambda s, d: fq.added(*(vc.cauchy_sums(cat.entries(s, d).filter(w), "vec_id", 15, 9) for w in ("idx % 2 = 0", "idx % 2 = 1")), ["vec_id", "t"], "s").withColumn("s", F.round("s", 6)))
-query("pstable_diff", f"WITH {cat.EM} {PS.replace('sum(x *', 'sum((CASE WHEN idx % 2 = 0 THEN x ELSE -x END) *')} GROUP BY ALL")(lambda s, d: fq.added(*(vc.cauchy_sums(cat.entries(s, d).filter(w), "vec_id", 15, 9) for w in ("idx % 2 = 0", "idx % 2 = 1")), ["vec_id", "t"], "s", -1).withColumn("s", F.round("s", 6)))
+cat.ORACLES["pstable_norm"] = f"WITH {cat.EM}, s AS ({PS.replace(', 6) AS s', ', 9) AS s')} GROUP BY ALL) SELECT vec_id, round(median(abs(s)), 4) AS norm FROM s GROUP BY vec_id"
+query("pstable_merge", f"WITH {cat.EM} {PS} GROUP BY ALL")(lambda s, d: fq.added(*(vc.cauchy_sums(cat.entries(s, d).filter(w), "vec_id", 15, 12) for w in ("idx % 2 = 0", "idx % 2 = 1")), ["vec_id", "t"], "s").withColumn("s", F.round("s", 6)))
+query("pstable_diff", f"WITH {cat.EM} {PS.replace('sum(x *', 'sum((CASE WHEN idx % 2 = 0 THEN x ELSE -x END) *')} GROUP BY ALL")(lambda s, d: fq.added(*(vc.cauchy_sums(cat.entries(s, d).filter(w), "vec_id", 15, 12) for w in ("idx % 2 = 0", "idx % 2 = 1")), ["vec_id", "t"], "s", -1).withColumn("s", F.round("s", 6)))
 query("wz_recover", f"WITH {cat.EM}, p AS (SELECT vec_id, r AS row, {HS('idx', 'r')} % 16 AS bucket, round(sum((CASE WHEN {HS('idx', 'r + 1000')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * x / pow(-ln({UNIT(HS('idx', chr(39) + 'e' + chr(39)))}), 0.5)), 6) AS s FROM e CROSS JOIN range(0, 3) t(r) GROUP BY ALL) SELECT e.vec_id, idx, round(median((CASE WHEN {HS('idx', 't.r + 1000')} % 2 = 0 THEN 1.0 ELSE -1.0 END) * s * pow(-ln({UNIT(HS('idx', chr(39) + 'e' + chr(39)))}), 0.5)), 5) AS estimate FROM e CROSS JOIN range(0, 3) t(r) JOIN p ON p.vec_id = e.vec_id AND p.row = t.r AND p.bucket = {HS('idx', 't.r')} % 16 GROUP BY ALL")(lambda s, d: vc.recover(vc.transform(e := cat.entries(s, d), "vec_id", "scaled", 3, 16), e, "vec_id", 3, 16, 2.0, 5))
 query("transform_signed", cat.ORACLES["cs_project"])(lambda s, d: vc.transform(cat.entries(s, d), "vec_id", "signed", 3, 16))
 
@@ -223,11 +265,11 @@ query("registers_from_array", f"WITH {EV}, {cat.HLL('t', 'v', 'g', 'k', 6)} SELE
 
 # banded index
 O4 = "o AS (SELECT event_type AS g, user_id AS id, event_id AS k FROM events WHERE user_id IS NOT NULL), r AS (SELECT id, {reg} AS reg, min({rem}) AS val FROM (SELECT id, {h} AS h FROM o) GROUP BY ALL)".format(reg=REG("h", 3), rem=cat.REM("h", 3), h=H("k"))
-BK = f"WITH v AS (SELECT c_nationkey AS g, c_acctbal::BIGINT AS k FROM customer), {st.KM}, p AS (SELECT a.g AS qid, b.g AS id, count(*) AS hits FROM b a JOIN b USING (h) WHERE a.g <> b.g GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) <= 5"
+BK = f"WITH v AS (SELECT c_nationkey AS g, floor(c_acctbal)::BIGINT AS k FROM customer), {st.KM}, p AS (SELECT a.g AS qid, b.g AS id, count(*) AS hits FROM b a JOIN b USING (h) WHERE a.g <> b.g GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id) <= 5"
 
 
 def nation_keys(s, d):
-    return rg.kmv(table(s, d, "customer").select(F.col("c_nationkey").alias("g"), F.expr("cast(round(c_acctbal) as bigint)").alias("k")), ["g"], "k", 64).select("g", "h")
+    return rg.kmv(table(s, d, "customer").select(F.col("c_nationkey").alias("g"), F.expr("cast(floor(c_acctbal) as bigint)").alias("k")), ["g"], "k", 64).select("g", "h")
 
 
 query("lsh_bottomk", BK)(lambda s, d: sm.bottom_candidates(nation_keys(s, d), "g", 5))

@@ -118,7 +118,11 @@ query("hll_farm_membership", f"WITH {FARM}, m AS (SELECT x, reg, max(val) AS val
 query("hll_joint_mle")(lambda s, d: sr.joint_estimates(hll(s, d), "g", P))
 FIRST = f"c AS (SELECT g, {REG(H('k'), P)} AS reg, {RANK(H('k'), P)} AS val, min(n) AS n FROM v GROUP BY ALL), u AS (SELECT *, coalesce(max(val) OVER (PARTITION BY g, reg ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS old FROM c), z AS (SELECT g, n, old, val, sum(CASE WHEN old = 0 THEN 1 ELSE pow(2.0, -old) END - pow(2.0, -val)) OVER (PARTITION BY g ORDER BY n) - (CASE WHEN old = 0 THEN 1 ELSE pow(2.0, -old) END - pow(2.0, -val)) AS gone FROM u WHERE val > old)"
 query("hll_hip_stream", f"WITH {EV}, {FIRST} SELECT g, round(sum({M} / ({M} - gone)), 4) AS estimate FROM z GROUP BY g")(lambda s, d: rg.first_arrivals(events(s, d), "g", "k", "n", P))
-query("hbb_estimate")(lambda s, d: rg.bit_pair_counters(events(s, d), "g", "k", "n", 4))
+ZEROS = "(length(bin(v)) - length(rtrim(bin(v), '0')))"
+HB = f"""v4 AS (SELECT g, h % 4 AS bucket, h // 4 AS v, n FROM (SELECT g, {H('k')} AS h, min(n) AS n FROM v GROUP BY ALL)), z AS (SELECT g, bucket, {ZEROS} AS z, 1::HUGEINT << ((v >> ({ZEROS} + 1)) % 64)::HUGEINT AS bit, n FROM v4),
+ r AS (SELECT *, row_number() OVER (PARTITION BY g, bucket ORDER BY n) AS i FROM z WHERE z > 5), s AS (SELECT DISTINCT g, bucket, 0::BIGINT AS i, 5::BIGINT AS lv, 0::HUGEINT AS a, 0::HUGEINT AS b FROM v4
+ UNION ALL SELECT g, bucket, i, CASE WHEN bit_count(x) > 31 THEN lv + 1 ELSE lv END, CASE WHEN bit_count(x) > 31 THEN y ELSE x END, CASE WHEN bit_count(x) > 31 THEN 0 ELSE y END FROM (SELECT s.g, s.bucket, r.i, lv, CASE WHEN z > lv THEN a | bit ELSE a END AS x, CASE WHEN z > lv + 1 THEN b | bit ELSE b END AS y FROM s JOIN r ON r.g = s.g AND r.bucket = s.bucket AND r.i = s.i + 1))"""
+query("hbb_estimate", f"WITH RECURSIVE {EV}, {HB}, e AS (SELECT g, bucket, arg_max(lv, i) + 5.8 + bit_count(arg_max(a, i)) / 32.0 AS e FROM s GROUP BY g, bucket) SELECT g, round(sum(pow(2.0, e)), 4) AS estimate FROM e GROUP BY g")(lambda s, d: rg.bit_pair_counters(events(s, d), "g", "k", "n", 4))
 query("oph_mode_estimates", f"WITH {EV}, {OP}, x AS (SELECT q.g, coalesce((val::DOUBLE + 1) / {1 << 53}.0, 1.0) AS x FROM (SELECT DISTINCT g FROM o) q CROSS JOIN range(0, 128) s(r) LEFT JOIN o ON o.g = q.g AND o.reg = r) SELECT g, round(16384 / sum(x), 4) AS harmonic, round(sum(1 / x), 0) AS arithmetic, round(128 * exp(-sum(ln(x)) / 128), 4) AS geometric, round(128 * {math.log(2)} / median(x), 4) AS median FROM x GROUP BY g")(lambda s, d: sr.mean_estimates(oph(s, d), ["g"], 7))
 query("bbit_values", f"WITH {EV}, {OP} SELECT g, reg, val & 255 AS val FROM o")(lambda s, d: oph(s, d).withColumn("val", F.col("val").bitwiseAND(255)))
 DB = f"o AS (SELECT g, ({H('k')} % 100)::INTEGER AS reg, min({H('k')} // 100) AS val FROM v GROUP BY ALL)"
@@ -141,7 +145,14 @@ def rankrem(s, d, where="true"):
 
 
 query("rankrem_cardinality", f"WITH {EV}, {HM} SELECT g, round(65536.0 / (sum(pow(2.0, -(val >> 10)) * (2046 - (val & 1023)) / 1023) + 256 - count(*)), 4) AS estimate FROM hm GROUP BY g")(lambda s, d: sr.rank_remainder_cardinality(rankrem(s, d), ["g"], 8, 10))
-query("rankrem_jaccard")(lambda s, d: sr.rank_remainder_measures(rankrem(s, d), "g", 8, 10))
+WIDTH = "pow(2.0, -(18 + least(k, 52)))"
+LOWER = "CASE WHEN k < 53 THEN pow(2.0, -8 - k) ELSE 0 END"
+RJ = f"""c AS (SELECT g, round(65536.0 / (sum(pow(2.0, -(val >> 10)) * (2046 - (val & 1023)) / 1023) + 256 - count(*)), 4) AS card, count(*) AS n FROM hm GROUP BY g), {ALL('hm', 'g')},
+ o AS (SELECT {LOWER} + {WIDTH} * f AS z0, {WIDTH} AS w FROM range(1, 54) a(k) CROSS JOIN range(0, 1024) b(f)),
+ p AS (SELECT i, j, x.card AS a, y.card AS b, x.n AS na, y.n AS nb, (SELECT count(*) FROM hm l JOIN hm r USING (reg) WHERE l.g = i AND r.g = j) AS c, (SELECT count(*) FROM hm l JOIN hm r USING (reg, val) WHERE l.g = i AND r.g = j) AS e FROM q_ JOIN c x ON x.g = i JOIN c y ON y.g = j),
+ k AS (SELECT i, j, sum((pow(1 - z0, a) - pow(1 - least(z0 + w, 1 - 1e-16), a)) * (pow(1 - z0, b) - pow(1 - least(z0 + w, 1 - 1e-16), b))) * 256 AS chance FROM p CROSS JOIN o GROUP BY ALL),
+ m AS (SELECT p.i, p.j, a, b, greatest(0.0, (e - least(chance, e)) / (na + nb - c)) AS jac FROM p JOIN k ON k.i = p.i AND k.j = p.j)"""
+query("rankrem_jaccard", f"WITH {EV}, {HM}, {RJ} SELECT i, j, round(jac, 6) AS jaccard, round(a + b - (a + b) * jac / (1 + jac), 4) AS union_size, round((a + b) * jac / (1 + jac), 4) AS intersection, round((a + b) * jac / (1 + jac) / a, 6) AS containment FROM m")(lambda s, d: sr.rank_remainder_measures(rankrem(s, d), "g", 8, 10))
 
 # bottom-k
 K = 64
@@ -230,7 +241,21 @@ query("setreg_nibble", f"WITH {EV}, {DV}, {SS(*sr.PRESETS['nibble'])} SELECT * F
 query("setreg_filtered", f"WITH {EV}, d AS (SELECT g, k FROM v GROUP BY ALL HAVING count(*) >= 2), {SS(*sr.PRESETS['byte'])} SELECT * FROM ss")(lambda s, d: integers(s, d, rows=events(s, d).groupBy("g", "k").count().filter("count >= 2")))
 query("css_filtered", f"WITH v AS (SELECT event_type AS g, user_id AS k FROM events WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 2), {CW} SELECT g, reg, val FROM c")(lambda s, d: sr.winners(events(s, d).groupBy("g", "k").count().filter("count >= 2"), "g", "k", S).select("g", "reg", "val"))
 query("optimal_ab", f"WITH {EV}, {CW} SELECT g, round(max(val) / exp(ln(max(val) / min(val)) / 254), 6) AS a, round(exp(ln(max(val) / min(val)) / 254), 6) AS b FROM c GROUP BY g")(lambda s, d: sr.optimal_base(exponential(s, d), ["g"], 254))
-query("setreg_jmle")(lambda s, d: sr.joint_likelihood(integers(s, d), "g", S, BB, BA))
+BETA = (BB - 1) / BB
+
+
+def _score(j):
+    """Log likelihood of a Jaccard ``j`` from gt, lt and the cardinalities' shares u and v."""
+    p, q = (f"(ln(1 - greatest(0, {x} - {y} * ({j})) * {BETA!r}) / -{math.log(BB)!r})" for x, y in (("u", "v"), ("v", "u")))
+    return f"(CASE WHEN gt > 0 THEN gt * ln(greatest({p}, 1e-300)) ELSE 0 END + CASE WHEN lt > 0 THEN lt * ln(greatest({q}, 1e-300)) ELSE 0 END + CASE WHEN {S} - gt - lt > 0 THEN ({S} - gt - lt) * ln(greatest(1 - {p} - {q}, 1e-300)) ELSE 0 END)"
+
+
+GOLD = (math.sqrt(5) - 1) / 2
+JM = f"""c AS (SELECT g, round({S} * (1 - 1 / {BB}) / ({BA} * {math.log(BB)!r} * sum(pow({BB}, -val))), 6) AS card FROM ss GROUP BY g), {ALL('ss', 'g')},
+ m AS (SELECT i, j, x.card / (x.card + y.card) AS u, y.card / (x.card + y.card) AS v, least(x.card, y.card) / greatest(x.card, y.card) AS top, (SELECT count(*) FROM ss l JOIN ss r USING (reg) WHERE l.g = i AND r.g = j AND l.val > r.val) AS gt, (SELECT count(*) FROM ss l JOIN ss r USING (reg) WHERE l.g = i AND r.g = j AND l.val < r.val) AS lt FROM q_ JOIN c x ON x.g = i JOIN c y ON y.g = j),
+ s AS (SELECT *, 0.0::DOUBLE AS lo, top AS hi, 0 AS n FROM m UNION ALL SELECT i, j, u, v, top, gt, lt, CASE WHEN a > b THEN lo ELSE lo + 0 * hi + (hi - {GOLD!r} * (hi - lo) - lo) END, CASE WHEN a > b THEN lo + {GOLD!r} * (hi - lo) ELSE hi END, n + 1 FROM (SELECT *, {_score(f"hi - {GOLD!r} * (hi - lo)")} AS a, {_score(f"lo + {GOLD!r} * (hi - lo)")} AS b FROM s WHERE n < 60)),
+ e AS (SELECT i, j, x, {_score("x")} AS score, o FROM (SELECT *, unnest([0.0, (lo + hi) / 2, top]) AS x, unnest([0, 1, 2]) AS o FROM s WHERE n = 60))"""
+query("setreg_jmle", f"WITH RECURSIVE {EV}, {DV}, {SS(*sr.PRESETS['byte'])}, {JM} SELECT i, j, round(arg_max(x, score), 4) AS jaccard FROM e GROUP BY i, j")(lambda s, d: sr.joint_likelihood(integers(s, d), "g", S, BB, BA))
 
 # unions: two halves merged are the whole, for every kind of table
 EVEN, ODD = "n % 2 = 0", "n % 2 = 1"
