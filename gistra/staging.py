@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -27,11 +29,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Executions that begin in here delete their shuffle files when they end: what they wrote is read from then on."""
+    was = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREES) if was is None else spark.conf.set(FREES, was)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later plans start at the table."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with freeing(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
 
@@ -49,11 +64,3 @@ def discard(*tables: DataFrame) -> None:
         path = _paths.pop(table, None)
         if path:
             remove(table.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files of plans nobody refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
