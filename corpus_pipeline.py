@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents. Classifier and Poisson draws can't be
-put in SQL as a whole, so ``ORACLE_SQL`` is None; tests hold stages against brute force.
+put in SQL as a whole, so ``ORACLE_SQL`` is None; ``tests/llm`` holds every stage against brute force.
 
 Null texts count as empty throughout; an empty table gives an empty result.
 """
@@ -30,8 +30,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Secrets are replaced by a mark; n_chars, where there is one, follows the text."""
+    safe = secrets.redact(docs)
+    return safe.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else safe
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistra.llm.text import column, slices
-from gistra.staging import cut, release
+from gistra.staging import cut, discard
 
 LOW, HIGH = 0.004, 0.2
 LEVELS, SEEDS, LEAST = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 8, 3
@@ -78,8 +78,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms in at least ``low`` and at most ``high`` of all documents (and in two)."""
     n = docs.count()
-    rows = document_frequencies(docs, text_col).filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term")
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
+    band = cut(document_frequencies(docs, text_col).filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term"), "lexicon")
+    rows = band.collect()
+    discard(band)
+    return np.sort(np.array([r[0] for r in rows], np.int64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -191,6 +193,4 @@ def fingerprint_neighbours(docs: DataFrame, words: np.ndarray, id_col: str = "do
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    words = lexicon(docs)
-    release(spark)  # the counts' shuffle files aren't needed beside the texts'
-    return fingerprint_neighbours(docs, words)
+    return fingerprint_neighbours(docs, lexicon(docs))

@@ -315,12 +315,11 @@ def in_shared_cells(rows: DataFrame) -> DataFrame:
 def meeting(rows: DataFrame, terms: Terms) -> DataFrame:
     """Staged table with (cell, key, n): where classes that may have a partner meet; ``rows`` has their heads."""
     members = in_shared_cells(rows)
-    for turn in range(PASSES):
+    for _ in range(PASSES):
         # who shares too little of its head has no partner, and its cells may then have one class left
-        live = members.groupBy("key").agg(F.max("n").alias("n_"), F.count("*").alias("live")).filter(F.col("live") >= terms.shared(F.col("n_")))
-        live = cut(live.select("key", "live"), "live")
-        kept = cut(members.drop("live", "size").join(live, "key"), "kept")
-        discard(members, live)
+        live = members.groupBy("key").agg(F.max("n").alias("n_"), F.count("*").alias("live")).filter(F.col("live") >= terms.shared(F.col("n_"))).select("key")
+        kept = cut(members.drop("size").join(live, "key"), "kept")
+        discard(members)
         sizes = cut(kept.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         members = cut(kept.join(sizes, "cell"), "members")
         discard(kept, sizes)

@@ -31,6 +31,29 @@ def test_urls(spark):
     assert url_rules.filter_urls(df.filter("false"), url_rules.PRODUCTION_RULES).count() == 0
 
 
+def test_urls_against_brute_force(spark):
+    r = random.Random(14)
+    label = lambda: r.choice(["a", "b", "a-b", "ab", "\u00e9", "com"])
+    host = lambda: ".".join(label() for _ in range(r.randint(1, 4)))
+    path = lambda: "".join(r.choice(["/", "a", "ab", "/a", "\u00e9"]) for _ in range(r.randint(0, 5)))
+    rules = list({(h, p): (r.choice(["allow", "block"]), h, p) for h, p in ((host(), path()) for _ in range(150))}.values())
+    urls = [(i, f"http://{host()}{'/' + path()}?q") for i in range(600)] + [(600, "http://"), (601, None), (602, "http:///a")]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # several ranges, none of which need begin at a boundary
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_rules.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    hits = 0
+    for i, u in urls:
+        rest = (u or "").partition("://")[2]
+        h = re.match(r"[^/?#]*", rest)[0]
+        p = re.match(r"[^?#]*", rest[len(h) :])[0]
+        fits = [(len(b) + len(c), v == "block", b + c, v) for v, b, c in rules if h and (h == b or h.endswith("." + b)) and p.startswith(c)]
+        want = max(fits)[2:] if fits else (None, "allow")
+        if len({x[2] for x in fits if x[0] == max(fits)[0]}) <= 1:
+            assert got[i] == want, (u, fits)
+            hits += bool(fits)
+    assert len(got) == len(urls) and hits > 150
+
+
 def test_toxicity_learns_and_scores_odd_texts(spark):
     r = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
