@@ -69,12 +69,12 @@ def join_size(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
-    """key, cnt of the k commonest keys; ties by hash, then key."""
+    """key, cnt of the k commonest keys by exact counts; ties by hash, then key. ``frequency.decaying_cells`` is the summary."""
     return df.groupBy(key).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), h60(key), key).limit(k)
 
 
 def heavy_hitters(df: DataFrame, key: str, theta: float) -> DataFrame:
-    """key, cnt of the keys with at least theta of all rows."""
+    """key, cnt of the keys with at least theta of all rows, by exact counts."""
     counts = df.groupBy(key).agg(F.count("*").alias("cnt"))
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("cnt").alias("total_")))).filter(F.col("cnt") >= theta * F.col("total_")).select(key, "cnt")
 
@@ -85,7 +85,7 @@ def running_count(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def decayed(df: DataFrame, key: str, age: str, half_life: float) -> DataFrame:
-    """key, weight: counts that halve every ``half_life`` of the column ``age``."""
+    """key, weight: counts that halve every ``half_life`` of the column ``age``, in closed form, a number for each key."""
     return df.groupBy(key).agg(F.round(F.sum(F.pow(F.lit(0.5), F.col(age) / half_life)), 6).alias("weight"))
 
 
@@ -97,7 +97,7 @@ def signed_by(df: DataFrame, h: Column, weight: Column, width: int) -> DataFrame
 
 
 def last_n(df: DataFrame, key: str, order: list[str], n: int, group: str) -> DataFrame:
-    """key, cnt within the last n rows of each group."""
+    """key, cnt within the last n rows of each group, exact; ``last_n_signed`` is the table of signed counts."""
     w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("back_", F.row_number().over(w)).filter(F.col("back_") <= n).groupBy(group, key).agg(F.count("*").alias("cnt"))
 

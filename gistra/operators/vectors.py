@@ -37,6 +37,7 @@ def recover(table: DataFrame, entries: DataFrame, key: str, rows: int, width: in
 
 
 def top_indices(entries: DataFrame, key: str, k: int, by: str = "x") -> DataFrame:
+    """key, idx, value, rk: the k entries of largest magnitude, of raw vectors or of what ``recover`` gives."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs(by)), "idx")
     return entries.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(key, "idx", F.col(by), "rk")
 

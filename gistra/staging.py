@@ -1,8 +1,14 @@
-"""Cutting lineage through tables written to the folder that all executors share."""
+"""Cutting lineage through tables written to the folder that all executors share.
+
+What a returned DataFrame still reads stays in that folder, as a checkpoint does, until its owner empties it; tables
+that nothing reads any more are deleted with ``discard``.
+"""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -21,7 +27,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault("root", tempfile.mkdtemp(prefix="gistra-"))
+    if "root" not in _own:
+        _own["root"] = tempfile.mkdtemp(prefix="gistra-")
+        atexit.register(shutil.rmtree, _own["root"], ignore_errors=True)
+    return _own["root"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gistra import api
 from gistra.functions import scalars as sc
 from gistra.operators import counts as ct
 from gistra.operators import frequency as fq
@@ -223,3 +224,21 @@ def test_candidates_recall(spark):
     found = {(x["qid"], x["id"]) for x in sm.candidates(index, index, 10).collect()}
     alike = [(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(alike) > 60 and sum(p in found for p in alike) >= 0.9 * len(alike)
+
+
+def test_names_of_the_interface(spark, thirds):
+    table = rg.hll(thirds, ["g"], "id", 10)
+    pairs = api.jaccard_matrix(table, "g", 10)
+    assert abs(pairs_of(pairs, "jaccard")[("a", "b")] - 1 / 3) < 0.1
+    assert api.tri2full(pairs, table.select("g"), "jaccard").count() == 9 and api.containment_matrix(table, "g", 10).count() == 9
+    assert abs(pairs_of(api.symmetric_containment_matrix(table, "g", 10), "containment")[("a", "b")] - 0.5) < 0.12
+    assert abs(pairs_of(api.union_size_matrix(rg.oph(thirds, ["g"], "id", 8), "g", 8, "minima"), "union_size")[("a", "b")] - 6000) < 1500
+    with pytest.raises(ValueError, match="has no"):
+        api.intersection_matrix(mb.mod_sample(thirds, ["g"], "id", 4), "g", 4, "sample")
+    one = spark.createDataFrame([([1, 2, 3], [3, 2, 5], "a b c d", 17, -17)], "x array<int>, y array<int>, t string, n long, m long")
+    row = one.select(api.shs_isz(F.col("x"), F.col("y")), api.count_eq(F.col("x"), F.col("y")), F.size(api.hash_ngrams(F.split("t", " "))), api.fastdiv(F.col("n"), 5), api.fastmod(F.col("n"), 5), api.fastdiv(F.col("m"), 5)).first()
+    assert tuple(row) == (2, 1, 2, 3, 2, -3)
+    minima = rg.oph(spark.range(40).select((F.col("id") % 4).alias("id"), (F.col("id") % 2 * 100 + F.floor(F.col("id") / 4)).alias("k")), ["id"], "k", 3)
+    index = api.BandIndex(spark, 8, extra=2).add(minima)
+    assert {(r["qid"], r["id"]) for r in index.query(minima, 1).collect()} == {(0, 2), (2, 0), (1, 3), (3, 1)}
+    assert index.per_row(minima).filter("found < 1").count() == 0
