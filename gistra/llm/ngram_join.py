@@ -379,6 +379,9 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
     """(key, comp), staged, of the classes that share a cell with another one; the rest are on their own."""
     spark = docs.sparkSession
     members = meeting(profile.filter("cells IS NOT NULL").select(F.explode("cells").alias("cell"), "key", F.col("n").cast("int").alias("n")), terms)
+    if not members.limit(1).count():
+        discard(members)
+        return spark.createDataFrame([], "key long, comp long")
     inside = cut(members.select("key").distinct(), "inside")
     named = probably_in(profile.select("id", "key"), "key", inside.select(F.col("key").alias("id")))
     reps = cut(named.join(inside, "key").groupBy("key").agg(F.min("id").alias("rep")), "reps")
@@ -493,3 +496,16 @@ def keep_one(docs: DataFrame, terms: Terms = Terms(5, 80), id_col: str = "doc_id
 
 def query(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, other) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT r.id, f.b FROM r JOIN f ON f.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.least AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(other) AS least FROM r GROUP BY id) m ON m.id = d.doc_id
+"""

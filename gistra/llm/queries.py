@@ -14,4 +14,4 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_document_fingerprints": fingerprints.query,
 }
-ORACLES = {"op1_url_filters": url_rules.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op1_url_filters": url_rules.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
