@@ -26,7 +26,8 @@ def conservative(df: DataFrame, key: str, rows: int = 4, width: int = 256, shard
     """row, bucket, cnt with conservative update: a key raises only the cells that lie below its new least count.
 
     Keys are counted first and dealt to ``shards`` by hash; each shard builds a table in order of hashes, and tables
-    are summed. A sum of conservative tables still bounds every count from above, and is at most the plain table.
+    are summed. A sum of conservative tables still bounds every count from above, and is at most the plain table. More shards
+    spread more keys over more tasks, and come nearer to the plain table.
     """
     totals = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("w")).select(h60(key).alias("h"), F.array(*(h60_seeded(F.col(key), F.lit(r)) % width for r in range(rows))).alias("at"), "w")
     dealt = totals.withColumn("shard", (F.col("h") % shards).cast("int")).repartition("shard").sortWithinPartitions("shard", "h")
@@ -98,7 +99,7 @@ def decaying_cells(df: DataFrame, key: str, order: str, rows: int = 2, width: in
     """row, bucket, fp, cnt: cells that keep the fingerprint of a frequent key. A row of the same key adds one; one of
     another key takes one off with probability base^-cnt, by its hash, and moves in at 0.
 
-    A cell only depends on its own rows, so cells are read one by one in order; runs of one key in a cell are counted first.
+    A cell only depends on its own rows, so cells are dealt to tasks and read one by one in order.
     """
     h = h60(key)
     rows_ = _rows(df.filter(F.col(key).isNotNull()).select(order, key, h.alias("h")), rows).select("row", _bucket(F.col(key), width).alias("bucket"), F.col("h").bitwiseAND(0xFFFF).alias("fp"), unit(h60(F.concat_ws("/", F.col(key).cast("string"), F.col(order).cast("string"), F.col("row").cast("string")), "coin")).alias("u"), order)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that one side's names are dealt to; the other side is sent to each. More for longer lists of names.
 BLOCKS = 16
 
 
@@ -39,11 +40,12 @@ def sided(totals: DataFrame, group: str, pairs: DataFrame, columns: list[str]) -
     return pairs
 
 
-def meeting(table: DataFrame, group: str, on: list[str], value: str, **aggregates: Column) -> DataFrame:
-    """i < j and aggregates over the cells that both groups have; the values there are x and y."""
+def meeting(table: DataFrame, group: str, on: list[str], value: str, pairs: DataFrame | None = None, **aggregates: Column) -> DataFrame:
+    """i < j (or the pairs given) and aggregates over the cells that both groups have; the values there are x and y."""
     a = table.select(F.col(group).alias("i"), *on, F.col(value).alias("x"))
     b = table.select(F.col(group).alias("j"), *on, F.col(value).alias("y"))
-    return a.join(b, on).filter("i < j").groupBy("i", "j").agg(*(c.alias(n) for n, c in aggregates.items()))
+    met = a.join(b, on).filter("i < j") if pairs is None else pairs.select("i", "j").join(a, "i").join(b, ["j", *on])
+    return met.groupBy("i", "j").agg(*(c.alias(n) for n, c in aggregates.items()))
 
 
 def compared(table: DataFrame, group: str) -> DataFrame:

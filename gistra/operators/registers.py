@@ -134,15 +134,16 @@ def estimate_by(table: DataFrame, groups: list[str], p: int, method: str) -> Dat
     return bins.select(*groups, F.round(solved("bins"), 4).alias("estimate"))
 
 
-def comparisons(table: DataFrame, group: str, p: int) -> DataFrame:
-    """i, j, card_i, card_j, union_size, intersection, jaccard, containment (of i in j), a_only, b_only of all pairs.
+def comparisons(table: DataFrame, group: str, p: int, pairs: DataFrame | None = None) -> DataFrame:
+    """i, j, card_i, card_j, union_size, intersection, jaccard, containment (of i in j), a_only, b_only of all pairs, or of
+    the ``pairs`` (i, j) given and no others.
 
     Registers meet by an equi-join; what only one group has comes from its totals.
     """
     m = 1 << p
     power = lambda c: F.pow(F.lit(2.0), -c)
-    both = pr.meeting(table, group, ["reg"], "val", c=F.count("*"), g=F.sum(power(F.greatest("x", "y"))), x=F.sum(power(F.col("x"))), y=F.sum(power(F.col("y"))))
-    full = pr.filled(pr.group_pairs(table, group), both, c=0, g=0.0, x=0.0, y=0.0)
+    both = pr.meeting(table, group, ["reg"], "val", pairs, c=F.count("*"), g=F.sum(power(F.greatest("x", "y"))), x=F.sum(power(F.col("x"))), y=F.sum(power(F.col("y"))))
+    full = pr.filled(pr.group_pairs(table, group) if pairs is None else pairs, both, c=0, g=0.0, x=0.0, y=0.0)
     totals = table.groupBy(group).agg(F.sum(power(F.col("val"))).alias("s"), F.count("*").alias("n"))
     t = pr.sided(totals, group, full, ["s", "n"])
     est = lambda s, n: raw_estimate(s + (m - n), m - n, m)
