@@ -107,6 +107,34 @@ def test_quality(spark):
     assert got[10] > 0.7 > got[11] and len(got) == 8
 
 
+@pytest.mark.parametrize("module,label,folds,held", [(toxicity, "toxic", 3, 1), (quality, "quality", 4, 2)])
+def test_held_out_rows(spark, tmp_path, module, label, folds, held):
+    """Held-out rows are told apart, and their labels change no score."""
+    r = random.Random(20)
+    words = ["river", "stone", "cloud", "meadow", "lantern", "harbor", "winter", "garden", "letter", "window"]
+    plain = lambda n: [r.choice(words) for _ in range(n)]
+    one = {"toxic": ["vilest", "scum"], "quality": ["therefore", "moreover"]}[label]
+    rows = []
+    for i in range(240):
+        n, t = i % 2, plain(r.randint(30, 80))
+        for _ in range(6 * n):
+            t.insert(r.randrange(len(t)), r.choice(one))
+        rows.append((i, " ".join(t), n))
+    out = []
+    for flip in (False, True):
+        d = tmp_path / str(flip)
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+        apart = lambda i: zlib.crc32(str(i).encode()) % folds == held
+        spark.createDataFrame([(i, *[1 - y if flip and apart(i) else y] * 2) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        out.append({x["doc_id"]: x for x in module.query(spark, str(d)).collect()})
+    got = out[0]
+    assert all(got[i]["held_out"] == apart(i) and got[i]["predicted"] == int(got[i]["score"] >= 0.7) for i, *_ in rows)
+    assert {i: x["score"] for i, x in out[0].items()} == {i: x["score"] for i, x in out[1].items()}
+    tested = [(y, got[i]["score"]) for i, _, y in rows if apart(i)]
+    ranks = [(a > b) + (a == b) / 2 for y, a in tested if y for z, b in tested if not z]
+    assert sum(ranks) / len(ranks) > 0.95
+
+
 def test_media_roundtrip(spark):
     got = {r["doc_id"]: r for r in media.media_columns(docs(spark, ODD)).collect()}
     for i, t in ODD:
