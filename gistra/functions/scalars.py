@@ -13,6 +13,8 @@ U = np.uint64
 #: The two published multipliers of the 64-bit finaliser, and the increment and multipliers of the stateless mixer.
 FINAL = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 STEP, MIXERS = 0x60BEE2BEE120FC15, (0xA3B195354A39B70D, 0x1B03738712FAD5C9)
+#: Multiplier and increment of the congruential generator.
+CONGRUENCE = (6364136223846793005, 1442695040888963407)
 PRIME = (1 << 61) - 1
 
 
@@ -59,6 +61,19 @@ def stateless(x: np.ndarray) -> np.ndarray:
     return _folded(_folded(x + U(STEP), MIXERS[0]), MIXERS[1])
 
 
+def stream(seed: int, index: np.ndarray) -> np.ndarray:
+    """The numbers that the generator started at ``seed`` gives at these places (from 0): its state only counts up."""
+    return stateless(U(seed) + index * U(STEP))
+
+
+def permuted_congruence(x: np.ndarray) -> np.ndarray:
+    """32 bits of a congruential step of x, shifted and rotated by its top bits."""
+    s = x * U(CONGRUENCE[0]) + U(CONGRUENCE[1])
+    v = (((s >> U(18)) ^ s) >> U(27)) & U(0xFFFFFFFF)
+    turn = s >> U(59)
+    return ((v >> turn) | (v << ((U(32) - turn) & U(31)))) & U(0xFFFFFFFF)
+
+
 def wang32(x: np.ndarray) -> np.ndarray:
     """The 32-bit shift-and-add mix, on the lower half."""
     v = x.astype(np.uint32)

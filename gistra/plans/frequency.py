@@ -176,6 +176,8 @@ WRAP = "18446744073709551616::UHUGEINT"
 ONES = "18446744073709551615::UHUGEINT"
 query("murmur_finaliser", f"SELECT c_custkey, {_signed('x::HUGEINT')} AS hash FROM ({_steps(_xs(33), f'(x * {sc.FINAL[0]}::UHUGEINT) % {WRAP}', _xs(33), f'(x * {sc.FINAL[1]}::UHUGEINT) % {WRAP}', _xs(33))})")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(sc.finaliser)(F.col("x")).alias("hash")))
 query("wyhash_stateless", f"SELECT c_custkey, {_signed('x::HUGEINT')} AS hash FROM ({_steps(f'(x + {sc.STEP}::UHUGEINT) % {WRAP}', *(f'xor((x * {m}::UHUGEINT) >> 64, (x * {m}::UHUGEINT) % {WRAP})' for m in sc.MIXERS))})")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(sc.stateless)(F.col("x")).alias("hash")))
+query("random_stream", f"SELECT c_custkey, {_signed('x::HUGEINT')} AS x FROM ({_steps(f'(x + {sc.STEP}::UHUGEINT) % {WRAP}', *(f'xor((x * {m}::UHUGEINT) >> 64, (x * {m}::UHUGEINT) % {WRAP})' for m in sc.MIXERS), start=f'(42 + c_custkey::UHUGEINT * {sc.STEP}::UHUGEINT) % {WRAP}')})")(lambda s, d: table(s, d, "customer").select("c_custkey", sc.arrow64(lambda v: sc.stream(42, v))(F.col("c_custkey")).alias("x")))
+query("permuted_congruence", f"SELECT c_custkey, (((v >> t) | (v << ((32 - t) % 32))) % {M32})::BIGINT AS x FROM (SELECT c_custkey, (xor(x >> 18, x) >> 27) % {M32} AS v, x >> 59 AS t FROM ({_steps(f'(x * {sc.CONGRUENCE[0]}::UHUGEINT + {sc.CONGRUENCE[1]}::UHUGEINT) % {WRAP}')}))")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(sc.permuted_congruence)(F.col("x")).alias("x")))
 query("wang_hash32", f"SELECT c_custkey, x::BIGINT AS hash FROM ({_steps(f'x % {M32}', f'(4294967295::UHUGEINT - x + x * 32768) % {M32}', _xs(12), f'(x * 5) % {M32}', _xs(4), f'(x * 2057) % {M32}', _xs(16))})")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(sc.wang32)(F.col("x")).alias("hash")))
 query("wang_roundtrip", f"SELECT c_custkey, {X} AS x FROM customer")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(lambda v: hx.wang64_inverse(hx.wang64(v)))(F.col("x")).alias("x")))
 query("modular_inverse", "SELECT c_custkey, 1::BIGINT AS product FROM customer")(lambda s, d: xs(s, d).select("c_custkey", sc.arrow64(lambda v: (v | sc.U(1)) * sc.inverse64(v | sc.U(1)))(F.col("x")).alias("product")))
