@@ -12,8 +12,9 @@ go here. What is left puts its shared shingles in order of rarity and is dealt t
 ``extra`` less one: two linked sets still meet, and meet where few others do. Cells with the same members are one.
 
 Tier 2 is an R-tree within a cell: nodes of near points with their coordinate maxima. Nodes and then points whose
-summed minima are below the overlap needed are dropped; survivors are bounded once more by finer points, of about
-n / 4 coordinates, and verified on whole sets. No link is lost, and one way serves all thresholds and cell sizes.
+summed minima are below the overlap needed are dropped, in steps: by sums of coordinates, by ``GROUPS`` of them, and by
+points of n to 2 n coordinates, which tell near copies short of the threshold from links. Only pairs that all bounds
+leave become rows, and are verified on whole sets. No link is lost, and one way serves all thresholds and cell sizes.
 
 Links are wanted as components, so not all pairs of a cell of copies are looked at. Equal sets are one class
 from the start. In each of ``ROUNDS`` rounds every class meets one pivot of the cells that hold more than
@@ -161,27 +162,47 @@ def bounded(pairs: DataFrame, terms: Terms) -> DataFrame:
 
 
 def fine_point(u: np.ndarray) -> bytes:
-    """A point of about n / 4 coordinates, a power of two; the first byte is a coordinate's width."""
-    groups = 1 << max(7, (len(u) // 4).bit_length())
+    """A point of n to 2 n coordinates, a power of two; the first byte is a coordinate's width."""
+    groups = 1 << max(7, len(u).bit_length())
     counts = np.bincount((u & U(groups - 1)).astype(np.int64), minlength=groups)
     width = 1 if counts.max() < 256 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
+def _fine_points(values: pa.Array) -> list[np.ndarray]:
+    out = []
+    for v in values:
+        v = v.as_buffer()
+        out.append(np.frombuffer(v, f"<u{v[:1].to_pybytes()[0]}", offset=1))
+    return out
+
+
+def fine_bounds(fine: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed minima of the points numbered ``x`` and ``y``; the finer of two is summed to the coarser."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.fromiter(map(len, fine), np.int64, len(fine))
+    least = np.minimum(sizes[x], sizes[y])
+    for size in np.unique(least):
+        at = np.flatnonzero(least == size)
+        rows = np.unique(np.concatenate([x[at], y[at]]))
+        points_ = np.stack([fine[r].reshape(-1, size).sum(0, dtype=np.int32) for r in rows])
+        a, b = np.searchsorted(rows, x[at]), np.searchsorted(rows, y[at])
+        step = max(1, (1 << 20) // size)
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.minimum(points_[a[k : k + step]], points_[b[k : k + step]]).sum(1)
+    return out
+
+
 def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
     """Pairs (a, b) whose fine points still allow the overlap needed; the finer of two is summed to the coarser."""
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y, total in zip(column(batch, "f_a"), column(batch, "f_b"), (column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy()).tolist()):
-                x, y = x.as_buffer(), y.as_buffer()
-                x, y = (np.frombuffer(v, f"<u{v[:1].to_pybytes()[0]}", offset=1) for v in (x, y))
-                least = min(len(x), len(y))
-                x, y = (v.reshape(-1, least).sum(0, dtype=np.int64) for v in (x, y))
-                ok.append(int(np.minimum(x, y).sum()) >= terms.needed(total))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
+            if batch.num_rows:
+                fine, every = _fine_points(column(batch, "f_a")) + _fine_points(column(batch, "f_b")), np.arange(batch.num_rows)
+                total = column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy()
+                ok = pa.array(fine_bounds(fine, every, every + batch.num_rows) >= terms.needed(total))
+                yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
     side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"f_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
@@ -189,7 +210,6 @@ def finely_bounded(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame
 
 def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are linked, as a staged table."""
-    likely = cut(finely_bounded(pairs, sets, terms), "likely")
     left, right = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("s_b"))
 
     def run(batches):
@@ -202,9 +222,7 @@ def verified(pairs: DataFrame, sets: DataFrame, terms: Terms) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], ["a", "b"])
 
-    links = cut(likely.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "verified")
-    discard(likely)
-    return links
+    return cut(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "verified")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -248,8 +266,9 @@ class Tree:
             yield np.repeat(q + k, LEAF)[ok], self.order[at[ok]]
 
 
-def _cell_pairs(n, comp, key, counts, here, there, terms: Terms):
+def _cell_pairs(n, comp, key, fine, here, there, terms: Terms):
     """Pairs of points, one of ``here`` and one of ``there``, of different components that survive the bounds."""
+    counts = np.stack([f.reshape(-1, GROUPS).sum(0, dtype=np.int32) for f in fine])
     folded = counts.reshape(len(counts), -1, FOLD).sum(2)
     tree = Tree(n[there], folded[there])
     for q, p in tree.reaching(n[here], folded[here], terms):
@@ -262,20 +281,22 @@ def _cell_pairs(n, comp, key, counts, here, there, terms: Terms):
         ok = np.minimum(folded[x], folded[y]).sum(1) >= need
         x, y, need = x[ok], y[ok], need[ok]
         ok = np.minimum(counts[x], counts[y]).sum(1) >= need
+        x, y, need = x[ok], y[ok], need[ok]
+        ok = fine_bounds(fine, x, y) >= need
         yield np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])
 
 
 def _block_pairs(terms: Terms):
     """For rows sorted by (cell, i, j): the surviving pairs of each such group. A group has two blocks of rows
     at most, and only the group that a batch breaks off is held over to the next."""
-    fields = ["cell", "i", "j", "block", "key", "comp", "n", "counts"]
+    fields = ["cell", "i", "j", "block", "key", "comp", "n", "fine"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(table):
         if not table.num_rows:
             return
         cell, i, j, block, key, comp, n = (table.column(c).to_numpy() for c in fields[:-1])
-        counts = _vectors(table.column("counts").to_pylist())
+        fine = _fine_points(table.column("fine"))
         begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out = []
         for a, b in zip(begins, [*begins[1:], len(cell)]):
@@ -283,7 +304,7 @@ def _block_pairs(terms: Terms):
             here = np.flatnonzero(block[own] == i[a])
             there = here if i[a] == j[a] else np.flatnonzero(block[own] == j[a])
             if len(here) and len(there):
-                out += _cell_pairs(n[own], comp[own], key[own], counts[own], here, there, terms)
+                out += _cell_pairs(n[own], comp[own], key[own], fine[own], here, there, terms)
         if out:
             pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -415,7 +436,7 @@ def class_labels(docs: DataFrame, profile: DataFrame, terms: Terms, id_col: str,
         alike = 100 * F.least("n", "pivot.n").cast("long") >= terms.percent * F.greatest("n", "pivot.n").cast("long")
         pairs = open_cells.filter("comp <> pivot.comp").filter(alike).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct()
         near = bounded(pairs.join(point("a"), "a").join(point("b"), "b"), terms)
-        near = cut(near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")), "near")
+        near = cut(finely_bounded(near.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")), sets, terms), "near")
         links = verified(near, sets, terms)
         discard(near)
         found = joined(labels, links)
@@ -439,11 +460,11 @@ def tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, terms: Te
     spark = members.sparkSession
     placed = members.select("cell", "key", "n").join(labels, "key")
     left = cut(placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size"), "left")
-    rest = placed.join(left, "cell").join(sets.select("key", "counts"), "key")
+    rest = placed.join(left, "cell").join(sets.select("key", "fine"), "key")
     dealt = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("comp", F.floor(F.col("n") / 64)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "counts").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "fine").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return grouped.mapInArrow(_block_pairs(terms), "a long, b long").distinct()
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,14 +315,22 @@ def test_one_row_of_repeated_and_reused_ids(spark):
 
 
 def test_tree_loses_no_pair():
-    rng = np.random.default_rng(2)
-    counts = rng.poisson(2, (80, ngram_join.GROUPS)).astype(np.int32)
-    counts[40:] = np.maximum(counts[:40] + rng.integers(-1, 2, (40, ngram_join.GROUPS)) * (rng.random((40, ngram_join.GROUPS)) < 0.1), 0)
-    n, key = counts.sum(1).astype(np.int64), np.arange(80)
-    terms, every = ngram_join.Terms(), np.arange(80)
-    got = {(a, b) for x, y in ngram_join._cell_pairs(n, key, key, counts, every, every, terms) for a, b in zip(x, y)}
-    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if np.minimum(counts[a], counts[b]).sum() >= terms.needed(n[a] + n[b])}
-    assert got == want
+    r = np.random.default_rng(2)
+    terms, sets = ngram_join.Terms(), []
+    for n in (40, 300, 1500):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for _ in range(30):
+            u = base.copy()
+            u[r.choice(n, r.integers(0, n // 8 + 1), replace=False)] = r.integers(0, 1 << 63)
+            sets.append(np.unique(u))
+    n, key, every = np.array([len(u) for u in sets]), np.arange(len(sets)), np.arange(len(sets))
+    fine = ngram_join._fine_points(pa.array([ngram_join.fine_point(u) for u in sets], pa.binary()))
+    got = {(a, b) for x, y in ngram_join._cell_pairs(n, key, key, fine, every, every, terms) for a, b in zip(x, y)}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in key for b in key if a < b}
+    linked = {p for p, c in both.items() if 100 * c >= 90 * (n[p[0]] + n[p[1]] - c)}
+    assert linked and linked <= got and len(got) < len(linked) + len(both) // 10
+    x, y = np.array(list(both)).T
+    assert (ngram_join.fine_bounds(fine, x, y) >= list(both.values())).all()
 
 
 def test_mixing_reaches_weights(spark):
