@@ -13,8 +13,8 @@ go here. What is left puts its shared shingles in order of rarity and is dealt t
 
 Tier 2 is an R-tree within a cell: nodes of near points with their coordinate maxima. Nodes and then points whose
 summed minima are below the overlap needed are dropped, in steps: by sums of coordinates, by ``GROUPS`` of them, and by
-points of n to 2 n coordinates, which tell near copies short of the threshold from links. Only pairs that all bounds
-leave become rows, and are verified on whole sets. No link is lost, and one way serves all thresholds and cell sizes.
+points of n to 2 n coordinates, which tell near copies short of the threshold from links. Pairs that all bounds leave become
+rows, each in the least of its common cells only, and are verified on whole sets. No link is lost, and one way serves all thresholds and cell sizes.
 
 Links are wanted as components, so not all pairs of a cell of copies are looked at. Equal sets are one class
 from the start. In each of ``ROUNDS`` rounds every class meets one pivot of the cells that hold more than
@@ -266,8 +266,9 @@ class Tree:
             yield np.repeat(q + k, LEAF)[ok], self.order[at[ok]]
 
 
-def _cell_pairs(n, comp, key, fine, here, there, terms: Terms):
-    """Pairs of points, one of ``here`` and one of ``there``, of different components that survive the bounds."""
+def _cell_pairs(n, comp, key, fine, here, there, terms: Terms, before=None):
+    """Pairs of points, one of ``here`` and one of ``there``, of different components that survive the bounds. ``before`` gives
+    the cells of a point that are less than this one: pairs that share one of them come from there."""
     counts = np.stack([f.reshape(-1, GROUPS).sum(0, dtype=np.int32) for f in fine])
     folded = counts.reshape(len(counts), -1, FOLD).sum(2)
     tree = Tree(n[there], folded[there])
@@ -282,21 +283,24 @@ def _cell_pairs(n, comp, key, fine, here, there, terms: Terms):
         x, y, need = x[ok], y[ok], need[ok]
         ok = np.minimum(counts[x], counts[y]).sum(1) >= need
         x, y, need = x[ok], y[ok], need[ok]
-        ok = fine_bounds(fine, x, y) >= need
+        ok = np.flatnonzero(fine_bounds(fine, x, y) >= need)
+        if before is not None and len(ok):
+            earlier = {i: before(i) for i in np.unique(np.concatenate([x[ok], y[ok]])).tolist()}
+            ok = np.array([k for k, a, b in zip(ok.tolist(), x[ok].tolist(), y[ok].tolist()) if earlier[a].isdisjoint(earlier[b])], np.int64)
         yield np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])
 
 
 def _block_pairs(terms: Terms):
     """For rows sorted by (cell, i, j): the surviving pairs of each such group. A group has two blocks of rows
     at most, and only the group that a batch breaks off is held over to the next."""
-    fields = ["cell", "i", "j", "block", "key", "comp", "n", "fine"]
+    fields = ["cell", "i", "j", "block", "key", "comp", "n", "fine", "cells"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(table):
         if not table.num_rows:
             return
-        cell, i, j, block, key, comp, n = (table.column(c).to_numpy() for c in fields[:-1])
-        fine = _fine_points(table.column("fine"))
+        cell, i, j, block, key, comp, n = (table.column(c).to_numpy() for c in fields[:-2])
+        fine, cells = _fine_points(table.column("fine")), table.column("cells").to_pylist()
         begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         out = []
         for a, b in zip(begins, [*begins[1:], len(cell)]):
@@ -304,7 +308,8 @@ def _block_pairs(terms: Terms):
             here = np.flatnonzero(block[own] == i[a])
             there = here if i[a] == j[a] else np.flatnonzero(block[own] == j[a])
             if len(here) and len(there):
-                out += _cell_pairs(n[own], comp[own], key[own], fine[own], here, there, terms)
+                before = lambda k, a=a: {c for c in cells[a + k] if c < cell[a]}
+                out += _cell_pairs(n[own], comp[own], key[own], fine[own], here, there, terms, before)
         if out:
             pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -460,11 +465,13 @@ def tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, terms: Te
     spark = members.sparkSession
     placed = members.select("cell", "key", "n").join(labels, "key")
     left = cut(placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high").select("cell", "size"), "left")
-    rest = placed.join(left, "cell").join(sets.select("key", "fine"), "key")
+    open_ = cut(placed.join(left, "cell"), "open")
+    of = open_.groupBy("key").agg(F.collect_list("cell").alias("cells")).join(sets.select("key", "fine"), "key")  # as many as a head has shingles at most
+    rest = open_.join(of, "key")
     dealt = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("comp", F.floor(F.col("n") / 64)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "fine").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    grouped = dealt.select("cell", "i", "j", "block", "key", "comp", "n", "fine", "cells").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return grouped.mapInArrow(_block_pairs(terms), "a long, b long").distinct()
 
 
