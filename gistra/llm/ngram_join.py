@@ -47,7 +47,7 @@ from gistra.llm.text import column, ensure_unique, slices, utf8
 from gistra.staging import cut, discard
 
 GROUPS, FOLD, LEAF, BLOCK, ROUNDS, PASSES = 128, 4, 16, 1024, 3, 2
-PAIRS_AT_ONCE, FILTER_BITS = 100_000, 27
+PAIRS_AT_ONCE, NUMBERS_AT_ONCE, FILTER_BITS = 100_000, 1 << 20, 27
 U = np.uint64
 
 
@@ -177,19 +177,30 @@ def _fine_points(values: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def summed_minima(points_: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of the points numbered ``x`` and ``y``, ``NUMBERS_AT_ONCE`` coordinates at a time."""
+    out = np.zeros(len(x), np.int64)
+    step = max(1, NUMBERS_AT_ONCE // points_.shape[1])
+    for k in range(0, len(x), step):
+        out[k : k + step] = np.minimum(points_[x[k : k + step]], points_[y[k : k + step]]).sum(1)
+    return out
+
+
 def fine_bounds(fine: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Summed minima of the points numbered ``x`` and ``y``; the finer of two is summed to the coarser."""
     out = np.zeros(len(x), np.int64)
     sizes = np.fromiter(map(len, fine), np.int64, len(fine))
     least = np.minimum(sizes[x], sizes[y])
     for size in np.unique(least):
-        at = np.flatnonzero(least == size)
-        rows = np.unique(np.concatenate([x[at], y[at]]))
-        points_ = np.stack([fine[r].reshape(-1, size).sum(0, dtype=np.int32) for r in rows])
-        a, b = np.searchsorted(rows, x[at]), np.searchsorted(rows, y[at])
-        step = max(1, (1 << 20) // size)
-        for k in range(0, len(at), step):
-            out[at[k : k + step]] = np.minimum(points_[a[k : k + step]], points_[b[k : k + step]]).sum(1)
+        runs = [np.flatnonzero(least == size)]
+        while runs:
+            at = runs.pop()
+            rows = np.unique(np.concatenate([x[at], y[at]]))
+            if len(rows) * size > 4 * NUMBERS_AT_ONCE and len(at) > 1:
+                runs += [at[: len(at) // 2], at[len(at) // 2 :]]
+                continue
+            points_ = np.stack([fine[r].reshape(-1, size).sum(0, dtype=np.int32) for r in rows])
+            out[at] = summed_minima(points_, np.searchsorted(rows, x[at]), np.searchsorted(rows, y[at]))
     return out
 
 
@@ -279,9 +290,9 @@ def _cell_pairs(n, comp, key, fine, here, there, terms: Terms, before=None):
             ok &= key[x] < key[y]
         x, y = x[ok], y[ok]
         need = terms.needed(n[x] + n[y])
-        ok = np.minimum(folded[x], folded[y]).sum(1) >= need
+        ok = summed_minima(folded, x, y) >= need
         x, y, need = x[ok], y[ok], need[ok]
-        ok = np.minimum(counts[x], counts[y]).sum(1) >= need
+        ok = summed_minima(counts, x, y) >= need
         x, y, need = x[ok], y[ok], need[ok]
         ok = np.flatnonzero(fine_bounds(fine, x, y) >= need)
         if before is not None and len(ok):
@@ -300,19 +311,19 @@ def _block_pairs(terms: Terms):
         if not table.num_rows:
             return
         cell, i, j, block, key, comp, n = (table.column(c).to_numpy() for c in fields[:-2])
-        fine, cells = _fine_points(table.column("fine")), table.column("cells").to_pylist()
+        fine, cells = _fine_points(table.column("fine")), table.column("cells").combine_chunks()
+        every, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
         begins = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        out = []
         for a, b in zip(begins, [*begins[1:], len(cell)]):
             own = slice(a, b)
             here = np.flatnonzero(block[own] == i[a])
             there = here if i[a] == j[a] else np.flatnonzero(block[own] == j[a])
             if len(here) and len(there):
-                before = lambda k, a=a: {c for c in cells[a + k] if c < cell[a]}
-                out += _cell_pairs(n[own], comp[own], key[own], fine[own], here, there, terms, before)
-        if out:
-            pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                least = lambda k, a=a: every[ends[a + k] : ends[a + k + 1]]
+                before = lambda k, a=a: set(least(k)[least(k) < cell[a]].tolist())
+                for x, y in _cell_pairs(n[own], comp[own], key[own], fine[own], here, there, terms, before):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=schema)
 
     def run(batches):
         held = None

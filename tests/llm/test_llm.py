@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -333,6 +334,42 @@ def test_tree_loses_no_pair():
     assert (ngram_join.fine_bounds(fine, x, y) >= list(both.values())).all()
 
 
+def test_tree_holds_few_numbers_at_once():
+    """Two blocks of near copies: all links without a lesser common cell come out once, and little memory is held for it."""
+    r, terms, m, size = np.random.default_rng(4), ngram_join.Terms(5, 80), 300, 350
+    base, sets = r.integers(0, 1 << 62, size), []
+    for _ in range(2 * m):
+        u, at = base.copy(), r.choice(size, r.integers(2, 50), replace=False)
+        u[at] = r.integers(0, 1 << 62, len(at))
+        sets.append(np.unique(u.astype(np.uint64)))
+    key, n = np.arange(2 * m), np.array([len(u) for u in sets])
+    same = lambda x: pa.array(np.full(2 * m, x))
+    rows = {"cell": same(50), "i": same(0), "j": same(1), "block": key // m, "key": key, "comp": key, "n": n}
+    rows |= {"fine": pa.array([ngram_join.fine_point(u) for u in sets], pa.binary()), "cells": pa.array([[k % 7, 50, *range(1000 + k, 1080 + k)] for k in key], pa.list_(pa.int64()))}
+    batches = pa.table(rows).to_batches(max_chunksize=250)  # a batch ends within the group
+    tracemalloc.start()
+    pairs = [b for b in ngram_join._block_pairs(terms)(iter(batches))]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [(a, b) for x in pairs for a, b in zip(*(c.to_pylist() for c in x.columns))]
+    kept = np.array([np.isin(base.astype(np.uint64), u) for u in sets]).astype(int)
+    both = kept[:m] @ kept[m:].T
+    linked = {(a, b + m) for a, b in np.argwhere(100 * both >= 80 * (n[:m, None] + n[None, m:] - both)).tolist() if a % 7 != (b + m) % 7}
+    assert linked and linked <= set(got) and len(set(got)) == len(got) and all(a % 7 != b % 7 for a, b in got)
+    assert held < 64e6
+
+
+def test_fine_bounds_in_runs(monkeypatch):
+    r = np.random.default_rng(5)
+    fine = [np.frombuffer(ngram_join.fine_point(np.unique(r.integers(0, 4000, n).astype(np.uint64))), "<u1", offset=1) for n in (5, 90, 300, 300, 900, 900, 2000, 2000)]
+    x, y = np.array([(a, b) for a in range(8) for b in range(8)]).T
+    whole = ngram_join.fine_bounds(fine, x, y)
+    coarse = lambda a, b: np.minimum(*(f.reshape(-1, min(len(a), len(b))).sum(0, dtype=int) for f in (a, b))).sum()
+    assert whole.tolist() == [coarse(fine[a], fine[b]) for a, b in zip(x, y)]
+    monkeypatch.setattr(ngram_join, "NUMBERS_AT_ONCE", 1 << 9)
+    assert (ngram_join.fine_bounds(fine, x, y) == whole).all()
+
+
 def test_mixing_reaches_weights(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"), F.lit(1).alias("copies"))
     out = mixing.mix(df, {"a": 3.0, "b": 1.0, None: 0.0}, total=2.0)
