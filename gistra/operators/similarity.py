@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gistra.functions.hashing import BITS, gamma2, h60, h60_seeded, unit
 from gistra.operators import pairs as pr
+from gistra.operators.rows import apart, order_minima
 
 
 def bottom_union(pairs: DataFrame, table: DataFrame, group: str, k: int) -> DataFrame:
@@ -148,7 +149,12 @@ def prob_min(weights: DataFrame, group: str, key: str, w: str, slots: int) -> Da
 
 
 def order_min(words: DataFrame, group: str, words_col: str, slots: int, length: int) -> DataFrame:
-    """group, slot, val: hash of the ``length`` words of least hash (word and its occurrence), in text order."""
+    """group, slot, val: hash of the ``length`` words of least hash (word and its occurrence), in text order. Rows that
+    have their group to themselves are worked on where they lie; the others' words are dealt by group and word."""
+    return apart(words, group, lambda d: order_minima(d, group, words_col, slots, length), lambda d: _order_min(d, group, words_col, slots, length))
+
+
+def _order_min(words: DataFrame, group: str, words_col: str, slots: int, length: int) -> DataFrame:
     each = words.select(group, F.posexplode(words_col).alias("pos", "word"))
     each = each.withColumn("occ", F.row_number().over(Window.partitionBy(group, "word").orderBy("pos"))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     h = h60_seeded(F.concat_ws("#", "word", F.col("occ").cast("string")), F.col("slot"))
