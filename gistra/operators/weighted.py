@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from gistra.functions.hashing import gamma2, h60, h60_seeded, unit
 from gistra.functions.scalars import stateless
+from gistra.staging import cut
 
 U = np.uint64
 
@@ -86,36 +89,52 @@ def nested_points(weights: DataFrame, group: str, key: str, w: str, m: int, top:
     """group, slot, key, val: each key has a random field of points over weights 0 .. ``top`` and distances, the same for every
     group; a slot keeps the nearest point at a weight up to the group's. The field is drawn where it is needed, by halving
     ``depth`` times along the weight; smaller differences of weights than top / 2^depth don't count. Weights beyond ``top`` raise."""
-    every = np.arange(m, dtype=U)
+    lead = np.arange(m, dtype=U) * U(0x9E3779B97F4A7C15)
 
-    def points(h: int, weight: float) -> np.ndarray:
-        state = stateless(stateless(every * U(0x9E3779B97F4A7C15) + U(h)))
-        low, width, x, best = 0.0, top, -np.log(_uniform(state)) / top, np.full(m, np.inf)
+    def points(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """A row of nearest points for each key; all keys go down their own halves together."""
+        state = stateless(stateless(lead + h[:, None]))
+        low, width = np.zeros(len(h)), top
+        x, best = -np.log(_uniform(state)) / top, np.full((len(h), m), np.inf)
         for _ in range(depth):
-            if weight >= low + width:
+            within = weight < low + width  # a stretch that lies wholly under the weight needs no halves
+            if not within.any():
                 break
             state = stateless(state)
             side = (state & U(1)).astype(bool)
             state = stateless(state)
             left, right = halved(x, side, -np.log(_uniform(state)), width)
-            middle = low + width / 2
             # the draws of a half only depend on the path to it, whatever the weight
-            if weight >= middle:
-                best, low, x, state = np.minimum(best, left), middle, right, state + U(1)
-            else:
-                x = left
+            up = within & (weight >= low + width / 2)
+            best = np.where(up[:, None], np.minimum(best, left), best)
+            x = np.where(up[:, None], right, np.where(within[:, None], left, x))
+            state = np.where(up[:, None], state + U(1), state)
+            # of a stretch that lies under the weight the point is taken, and none is left
+            best = np.where(within[:, None], best, np.minimum(best, x))
+            x = np.where(within[:, None], x, np.inf)
+            low = np.where(up, low + width / 2, low)
             width /= 2
-        return np.minimum(best, x) if weight >= low + width else best
+        return np.where((weight >= low + width)[:, None], np.minimum(best, x), best)
 
-    @F.pandas_udf("array<double>")
-    def thrown(h, weight):
-        import pandas as pd
+    rows = weights.filter((F.col(w) > 0) & F.col(key).isNotNull()).select(group, F.col(key).alias("key"), h60(key).alias("h"), F.col(w).cast("double").alias("w"))
+    schema = StructType([rows.schema[group], StructField("slot", IntegerType()), rows.schema["key"], StructField("val", DoubleType())])
 
-        if (weight > top).any():
-            raise ValueError(f"a weight is beyond {top}")
-        return pd.Series([points(int(a), float(b)).tolist() for a, b in zip(h, weight)])
-
-    s = weights.filter(F.col(w) > 0).select(group, F.col(key).alias("key"), F.posexplode(thrown(h60(key), F.col(w).cast("double"))).alias("slot", "val"))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 11):
+                part = batch.slice(at, 1 << 11)
+                part = part.take(pc.sort_indices(part.column(1)))  # of equal points the least key's comes first
+                weight = part.column(3).to_numpy(zero_copy_only=False)
+                if (weight > top).any():
+                    raise ValueError(f"a weight is beyond {top}")
+                val = points(part.column(2).to_numpy(zero_copy_only=False).astype(U), weight)
+                of = pc.dictionary_encode(part.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                for g in range(int(of.max()) + 1):
+                    own = np.flatnonzero(of == g)
+                    who = own[val[own].argmin(axis=0)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(np.arange(m, dtype=np.int32)), part.column(1).take(pa.array(who)), pa.array(val[who, np.arange(m)])], names=[group, "slot", "key", "val"])
+
+    s = rows.mapInArrow(run, schema)
     return s.groupBy(group, "slot").agg(F.min(F.struct("val", "key")).alias("p")).filter("p.val < double('infinity')").select(group, "slot", F.col("p.key").alias("key"), F.round("p.val", 9).alias("val"))
 
 
@@ -146,9 +165,10 @@ def sample_matrix(spark, rows: int, slots: int) -> DataFrame:
 
 
 def agreement(table: DataFrame, group: str, m: int) -> DataFrame:
-    """i < j, similarity: share of slots with the same key and val, of all pairs."""
+    """i < j, similarity: share of slots with the same key and val, of all pairs. The table is read four times, so it is made once."""
     from gistra.operators import pairs as pr
 
+    table = cut(table, "minima")
     same = pr.meeting(table.withColumn("v_", F.struct("key", "val")), group, ["slot", "v_"], "slot", n=F.count("*"))
     return pr.filled(pr.group_pairs(table, group), same, n=0).select("i", "j", F.round(F.col("n") / m, 6).alias("similarity"))
 
