@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistra.functions.hashing import BITS, gamma2, h60, h60_seeded, unit
 from gistra.operators import pairs as pr
 from gistra.operators.rows import apart, order_minima
+from gistra.staging import cut
 
 
 def bottom_union(pairs: DataFrame, table: DataFrame, group: str, k: int) -> DataFrame:
@@ -22,7 +23,8 @@ def bottom_union(pairs: DataFrame, table: DataFrame, group: str, k: int) -> Data
 
 def bottom_jaccard(table: DataFrame, group: str, k: int) -> DataFrame:
     """i < j, shared, jaccard of all pairs from k-smallest tables (group, rk, h): matches among the k smallest of
-    the union. Only pairs that share a hash have their union made; the others are 0."""
+    the union. Only pairs that share a hash have their union made; the others are 0. The table is read six times, so it is made once."""
+    table = cut(table, "smallest")
     sharing = pr.meeting(table, group, ["h"], "h", n=F.count("*")).select("i", "j")
     kept = bottom_union(sharing, table, group, k)
     some = kept.groupBy("i", "j").agg(F.sum((F.col("c") == 2).cast("bigint")).alias("shared"), F.round(F.sum((F.col("c") == 2).cast("double")) / F.count("*"), 6).alias("jaccard"))
